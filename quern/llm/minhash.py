@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.common import components, salted_join, settle
+from quern.ship import ship
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 U64 = np.uint64
@@ -256,6 +257,7 @@ def _compare(sets: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, p: NearDupParams = NearDupParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: rk (hash of id and text), id, n (set size), sig (of its set, null if empty), component_id (least id)."""
+    ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).select(F.xxhash64("id", "text").alias("rk"), "id", "text")
     made = settle(rows.mapInArrow(_sketcher(p), "rk long, id long, n long, sig binary, nid long, bands array<long>"), "sketch")
     base = made.drop("bands")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib.util
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,34 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every test item found in a document: its matches, and place and distance of the nearest (the first of equals)."""
+    from quern.llm.decontam import find_leaks
+
+    hits = find_leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    best = F.min(F.struct("distance", "start", "end"))
+    found = hits.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_matches"), best.alias("best"))
+    return found.select("doc_id", "item_id", "n_matches", F.col("best.distance").alias("distance"), F.col("best.start").alias("match_start"), F.col("best.end").alias("match_end"))
+
+
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.secrets import digest, find, labelled_samples, train
+
+    return digest(find(_read(spark, sf_dir, "documents"), train(labelled_samples(spark))))
+
+
+def op3_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.chat import rotate
+
+    return rotate(_read(spark, sf_dir, "conversations"))
+
+
+def op4_jump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.shard import assign
+
+    return assign(_read(spark, sf_dir, "documents"), 16)
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quern.llm.minhash import NearDupParams, near_duplicates
 
@@ -19,8 +48,118 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def op6_spann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.ann import search
+
+    return search(_read(spark, sf_dir, "embeddings"), F.coalesce(F.col("vec_id") % 20 == 0, F.lit(False)), 20)
+
+
+def op7_pareto(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.mix import mix
+
+    return mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.quality import fit, score
+
+    docs = _read(spark, sf_dir, "documents")
+    return score(docs, fit(docs, _read(spark, sf_dir, "labels")))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.warc import archive, read
+
+    return read(archive(_read(spark, sf_dir, "pages"))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    from quern.llm.tokens import TokenParams, read, write
+
+    return read(write(_read(spark, sf_dir, "documents"), TokenParams(public_tokenizers.path("word_bpe_49k.json"))))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontam": op1_decontam,
+    "op2_secrets": op2_secrets,
+    "op3_rotation": op3_rotation,
+    "op4_jump": op4_jump,
     "op5_minhash": op5_minhash,
+    "op6_spann": op6_spann,
+    "op7_pareto": op7_pareto,
+    "op8_quality": op8_quality,
+    "op9_warc": op9_warc,
+    "op10_tokens": op10_tokens,
 }
+if importlib.util.find_spec("corpus_pipeline"):
+    QUERIES["pipeline"] = pipeline
 
-ORACLES: dict[str, str] = {}
+_FILLS = "".join(
+    f""",
+rest{i} AS (SELECT * FROM rest{i - 1} WHERE id NOT IN (SELECT id FROM fill{i - 1})),
+fill{i} AS (
+  SELECT id, source, size, gap - size AS gap FROM (
+    SELECT r.id, r.source, r.size, g.gap, row_number() OVER (PARTITION BY r.source ORDER BY r.size DESC, r.q, r.id) AS rn
+    FROM rest{i} r JOIN fill{i - 1} g ON r.source IS NOT DISTINCT FROM g.source WHERE r.size <= g.gap) WHERE rn = 1)"""
+    for i in (2, 3)
+)
+
+ORACLES: dict[str, str] = {
+    "op3_rotation": r"""
+WITH t AS (
+  SELECT conv_id, turn, regexp_replace(CASE WHEN trim(coalesce(role, ''), ' ') = '' THEN 'unknown' ELSE trim(role, ' ') END, '[\s<>|]', '_', 'g') AS speaker,
+         replace(coalesce(text, ''), '<|', '< |') AS said, CAST(floor(turn / 512.0) AS BIGINT) AS part
+  FROM conversations),
+cut AS (SELECT *, row_number() OVER (PARTITION BY conv_id, part ORDER BY turn, speaker, said) AS pos FROM t),
+people AS (SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker <> 'system'),
+seg AS (
+  SELECT c.conv_id, c.part, (c.pos - 1) // 512 AS piece, p.perspective, c.pos, c.speaker = p.perspective AS own,
+         '<|im_start|>' || CASE WHEN c.speaker = 'system' THEN 'system' WHEN c.speaker = p.perspective THEN 'assistant' ELSE 'user name=' || c.speaker END || chr(10) AS head,
+         c.said || '<|im_end|>' AS body
+  FROM cut c JOIN people p ON c.conv_id IS NOT DISTINCT FROM p.conv_id),
+placed AS (
+  SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, part, piece, perspective ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM seg)
+SELECT conv_id, part, CAST(piece AS BIGINT) AS piece, perspective, CAST(count(*) AS BIGINT) AS n_turns,
+       string_agg(head || body || chr(10), '' ORDER BY pos) AS text,
+       coalesce(string_agg(CAST(CAST(before + length(head) AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(before + length(head) + length(body) AS BIGINT) AS VARCHAR), ',' ORDER BY pos) FILTER (WHERE own), '') AS mask
+FROM placed GROUP BY conv_id, part, piece, perspective
+""",
+    "op7_pareto": r"""
+WITH raw AS (
+  SELECT doc_id AS id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+rnd AS (
+  SELECT *, (CAST(CAST('0x' || substr(md5('mix|' || coalesce(CAST(id AS VARCHAR), '') || '|' || CAST(size AS VARCHAR)), 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496.0 AS u FROM raw),
+src AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM rnd GROUP BY source),
+spot AS (SELECT *, row_number() OVER (ORDER BY source IS NULL, source) AS spot FROM src),
+wt AS (SELECT *, CASE (spot - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w, source_size * 3.0::DOUBLE AS cap FROM spot),
+lev AS (
+  SELECT *, (CAST(sum(source_size) OVER () AS DOUBLE) - coalesce(sum(cap) OVER (ORDER BY cap / w, spot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+            / sum(w) OVER (ORDER BY cap / w, spot ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM wt),
+tgt AS (SELECT *, least(cap, coalesce(w * max(CASE WHEN cap / w > level THEN level END) OVER (), cap)) AS target FROM lev),
+sh AS (SELECT source, source_size, target, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM tgt),
+shares AS (SELECT *, target - whole * source_size AS rem FROM sh),
+ranked AS (
+  SELECT r.*, s.source_size, s.target, s.whole, s.rem,
+         CASE WHEN s.rem > 0 THEN (r.u / (1 - r.u)) / ((s.rem / s.source_size) / (1 - s.rem / s.source_size) * 1.0::DOUBLE) END AS q
+  FROM rnd r JOIN shares s ON r.source IS NOT DISTINCT FROM s.source),
+run AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY q, id, size ROWS UNBOUNDED PRECEDING) AS upto FROM ranked WHERE q IS NOT NULL),
+chosen AS (SELECT id, source, size FROM run WHERE upto <= rem),
+gap0 AS (SELECT s.source, s.rem - coalesce((SELECT sum(size) FROM chosen c WHERE c.source IS NOT DISTINCT FROM s.source), 0) AS gap FROM shares s),
+rest1 AS (SELECT * FROM run WHERE upto > rem AND size > 0),
+fill1 AS (
+  SELECT id, source, size, gap - size AS gap FROM (
+    SELECT r.id, r.source, r.size, g.gap, row_number() OVER (PARTITION BY r.source ORDER BY r.size DESC, r.q, r.id) AS rn
+    FROM rest1 r JOIN gap0 g ON r.source IS NOT DISTINCT FROM g.source WHERE r.size <= g.gap) WHERE rn = 1)"""
+    + _FILLS
+    + r""",
+more AS (SELECT id FROM chosen UNION ALL SELECT id FROM fill1 UNION ALL SELECT id FROM fill2 UNION ALL SELECT id FROM fill3)
+SELECT id AS doc_id, size, source_size, target, CAST((whole + CASE WHEN id IN (SELECT id FROM more) THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM ranked
+""",
+}
