@@ -1,102 +1,5 @@
-"""Shared plumbing: scratch tables in the shared checkpoint folder, salted joins, connected components."""
+"""Plumbing that the operators share with the rest of the library."""
 
-from __future__ import annotations
+from quern.tables import components, new_path, salted_join, scratch_dir, settle
 
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-_OWN_DIR: dict[str, str] = {}
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder shared by driver and executors: spark.checkpoint.dir, or a private one where it is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    app = spark.sparkContext.applicationId
-    if not base:
-        if app not in _OWN_DIR:
-            _OWN_DIR[app] = tempfile.mkdtemp(prefix="quern-")
-            spark.sparkContext.setCheckpointDir(_OWN_DIR[app])
-        base = _OWN_DIR[app]
-    root = f"{base.rstrip('/')}/quern-{app}"
-    if root not in _CLEANED:
-        _CLEANED.add(root)
-        atexit.register(_remove, spark, root)
-    return root
-
-
-_CLEANED: set[str] = set()
-
-
-def _remove(spark: SparkSession, root: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(root)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    except Exception:  # the session is gone: its folder is the cluster's to sweep
-        pass
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def settle(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write df once to the shared folder and read it back: lineage ends there and no executor's loss undoes it."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop(df: DataFrame) -> None:
-    """Remove a settled table that no later plan reads."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/quern-" in name:
-            path = jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def salted_join(big: DataFrame, small: DataFrame, on: list[str], by: Column, how: str = "left", salts: int = 16) -> DataFrame:
-    """Join on keys of which one may hold a large part of big's rows.
-
-    big's rows are dealt over `salts` copies of small's matching row by the deterministic value `by`;
-    small must have one row for each key and be much smaller than big.
-    """
-    left = big.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
-    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [*on, "_salt"], how).drop("_salt")
-
-
-def components(edges: DataFrame, name: str = "cc", salts: int = 8) -> DataFrame | None:
-    """Connected components of (a, b): (node, root), root the least node, of every node in an edge; None without edges.
-
-    Each round every node picks its least neighbour (itself included), chains of picks are halved by
-    pointer jumping, and the graph is contracted to the picks' ends; the nodes left are at most half.
-    Everything stays distributed; tables are written between rounds.
-    """
-    edges = settle(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), name)
-    found = None
-    while not edges.isEmpty():
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        pick = settle(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")), name)
-        while True:
-            up = pick.select(F.col("node").alias("root"), F.col("root").alias("top")).where("root <> top")
-            far = settle(salted_join(pick, up, ["root"], F.col("node"), salts=salts).select("node", F.coalesce("top", "root").alias("root"), F.col("top").isNotNull().alias("moved")), name)
-            pick = far.select("node", "root")
-            if far.where("moved").isEmpty():
-                break
-        if found is None:
-            found = pick
-        else:
-            deep = salted_join(found, pick.select(F.col("node").alias("root"), F.col("root").alias("top")), ["root"], F.col("node"), salts=salts)
-            found = settle(deep.select("node", F.coalesce("top", "root").alias("root")), name)
-        a = salted_join(edges, pick.select(F.col("node").alias("a"), F.col("root").alias("ra")), ["a"], F.col("b"), "inner", salts)
-        ab = salted_join(a, pick.select(F.col("node").alias("b"), F.col("root").alias("rb")), ["b"], F.col("a"), "inner", salts)
-        edges = settle(ab.where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), name)
-    return found
+__all__ = ["components", "new_path", "salted_join", "scratch_dir", "settle"]
