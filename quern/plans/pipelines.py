@@ -27,7 +27,7 @@ METHODS = ("plain", "mle", "elc", "similar", "similar_comp", "full")
 
 @dataclass(frozen=True)
 class ReductionResult:
-    """recipe: (client, version, file_id, chunk_no, size, fp); keys: (version, file_id, chunk_no, key);
+    """recipe: (client, version, file_id, chunk_no, size, fp); keys: (client, version, file_id, chunk_no, key, packed);
     addr: (fp, seq, client, version, kind, base_fp, container_id, offset, length, packed, sent);
     containers: (container_id, body, chunks). kind is base, delta, or pair (a base stored compressed)."""
 
@@ -88,7 +88,7 @@ def upload(objects: DataFrame, method: str, cfg: ReductionConfig = ReductionConf
     server = dual_fingerprint(F.col("payload"), F.col("twin")) if method == "full" else F.sha2("payload", 256)
     sent = settle(sent.withColumn("sfp", server).drop("data"), "sent")
     recipe = sent.select("client", "version", "file_id", "chunk_no", "size", F.col("sfp").alias("fp"), "seq")
-    key_rows = sent.select("version", "file_id", "chunk_no", "key", "packed")
+    key_rows = sent.select("client", "version", "file_id", "chunk_no", "key", "packed")
     unique = settle(sent.join(sent.groupBy("sfp").agg(F.min("seq").alias("seq")).select("seq"), "seq"), "unique")
     if method == "full":
         # the client's window decides before anything is known to be a duplicate: every chunk counts
@@ -122,13 +122,13 @@ def upload(objects: DataFrame, method: str, cfg: ReductionConfig = ReductionConf
 
 
 def restore(result: ReductionResult, cfg: ReductionConfig = ReductionConfig()) -> DataFrame:
-    """(version, file_id, content) of every object with chunks, byte for byte."""
+    """(client, version, file_id, content) of every object with chunks, byte for byte."""
     ship(result.recipe.sparkSession)
     method, most = result.method, _most(cfg)
     held = pack.fetch(result.addr, result.containers, "stored")
     raw = codecs.decompress(F.col("stored"), F.col("squeezed")) if method in ("plain", "mle", "elc") else F.col("stored")
     held = settle(held.select("fp", "kind", "base_fp", raw.alias("stored")), "held")
-    keyed = result.recipe.join(result.keys, ["version", "file_id", "chunk_no"])
+    keyed = result.recipe.join(result.keys, ["client", "version", "file_id", "chunk_no"])
     if method == "full":
         # a pair's uncompressed cipher is made again from its compressed one, under the key of any chunk that has it
         by = keyed.groupBy("fp").agg(F.any_value("key").alias("key"), F.any_value("packed").alias("packed"))
@@ -141,9 +141,9 @@ def restore(result: ReductionResult, cfg: ReductionConfig = ReductionConfig()) -
     whole = bases.unionByName(deltas.select("fp", codecs.delta_decode(F.col("whole"), F.col("stored")).alias("whole")))
     rows = keyed.join(whole, "fp")
     data = _decrypted(method, most)
-    made = rows.select("version", "file_id", "chunk_no", data.alias("data"))
+    made = rows.select("client", "version", "file_id", "chunk_no", data.alias("data"))
     parts = F.sort_array(F.collect_list(F.struct("chunk_no", "data")))
-    return made.groupBy("version", "file_id").agg(parts.alias("p")).select("version", "file_id", F.aggregate("p", F.lit(b""), lambda a, x: F.concat(a, x["data"])).alias("content"))
+    return made.groupBy("client", "version", "file_id").agg(parts.alias("p")).select("client", "version", "file_id", F.aggregate("p", F.lit(b""), lambda a, x: F.concat(a, x["data"])).alias("content"))
 
 
 def _decrypted(method: str, most: int) -> Column:
@@ -184,7 +184,7 @@ def index_sizes(n_features: Column, generated: Column, similar: Column) -> dict[
 
 
 def check_restore(restored: DataFrame, result: ReductionResult) -> DataFrame:
-    """(version, file_id, expected, got) of objects whose restored size is not the recipe's."""
-    head = result.recipe.groupBy("version", "file_id").agg(F.sum("size").cast("long").alias("expected"))
-    got = restored.select("version", "file_id", F.octet_length("content").cast("long").alias("got"))
-    return head.join(got, ["version", "file_id"], "full").where(~F.col("expected").eqNullSafe(F.col("got")))
+    """(client, version, file_id, expected, got) of objects whose restored size is not the recipe's."""
+    head = result.recipe.groupBy("client", "version", "file_id").agg(F.sum("size").cast("long").alias("expected"))
+    got = restored.select("client", "version", "file_id", F.octet_length("content").cast("long").alias("got"))
+    return head.join(got, ["client", "version", "file_id"], "full").where(~F.col("expected").eqNullSafe(F.col("got")))
