@@ -1,7 +1,8 @@
 """Quality classifier on supervised subword embeddings.
 
-A document is a bag of features: its words and, of every word with its ends marked, the character n-grams;
-each is hashed to one of `rows` learned vectors. The mean of a document's vectors goes through a softmax
+A document is a bag of features: its words; of every word with its ends marked, the character n-grams; and
+for each word that repeats the one before it, a mark (the one word pair that is not about which words). Each
+is hashed to one of `rows` learned vectors. The mean of a document's vectors goes through a softmax
 over the two labels. Vectors and output weights are trained together by stochastic gradient descent in
 numpy, from a bounded sample of labelled rows taken by least hash of their ids, so that reruns agree.
 
@@ -19,6 +20,8 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import islice
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -28,20 +31,23 @@ from pyspark.sql import functions as F
 from quern.ship import ship
 
 MEMO_WORDS = 300_000
+#: The feature of a repeated word, and how many features it counts as (about as many as a word has).
+REPEAT, REPEAT_WEIGHT = zlib.crc32(b"<repeat>"), 10
 
 
 @dataclass(frozen=True)
 class QualityParams:
-    """sample bounds the labelled rows that are learned from; half of them at most come from either label."""
+    """sample bounds the labelled rows that are learned from (half of them from either label), longest their texts."""
 
     rows: int = 1 << 18
     dim: int = 16
     low: int = 2
     high: int = 4
     epochs: int = 6
-    rate: float = 0.5
+    rate: float = 0.1
     batch: int = 16
     sample: int = 4000
+    longest: int = 1 << 16  # bytes; longer texts are scored like any other but not learned from
     seed: int = 11
 
 
@@ -54,8 +60,14 @@ def features(word: bytes, p: QualityParams) -> list[int]:
     return out
 
 
+def repeats(words: list[bytes]) -> int:
+    return REPEAT_WEIGHT * sum(map(eq, words, islice(words, 1, None)))
+
+
 @dataclass
 class QualityModel:
+    """What scoring needs of a trained model."""
+
     params: QualityParams
     gain: np.ndarray  # (w1 - w0) . vector of each row
     bias: float
@@ -65,8 +77,10 @@ class QualityModel:
         return {"params": self.params, "gain": self.gain, "bias": self.bias, "memo": {}}
 
     def score(self, text: bytes | None) -> float:
-        total, count, memo = 0.0, 0, self.memo
-        for w in text.split() if text else ():
+        words = text.split() if text else []
+        again = repeats(words)
+        total, count, memo = again * float(self.gain[REPEAT % self.params.rows]), again, self.memo
+        for w in words:
             got = memo.get(w)
             if got is None:
                 f = features(w, self.params)
@@ -89,12 +103,13 @@ def train(texts: list[bytes], labels: list[int], p: QualityParams) -> QualityMod
     memo: dict[bytes, np.ndarray] = {}
     bags = []
     for t in texts:
-        parts = []
-        for w in t.split():
+        words = t.split()
+        parts = [np.full(repeats(words), REPEAT % p.rows, np.int32)]
+        for w in words:
             if w not in memo:
                 memo[w] = np.array(features(w, p), np.int32)
             parts.append(memo[w])
-        rows, counts = np.unique(np.concatenate(parts) if parts else np.empty(0, np.int32), return_counts=True)
+        rows, counts = np.unique(np.concatenate(parts), return_counts=True)
         bags.append((rows, (counts / max(1, counts.sum())).astype(np.float32)))
     emb = rng.uniform(-1 / p.dim, 1 / p.dim, (p.rows, p.dim)).astype(np.float32)
     out = np.zeros((2, p.dim), np.float32)
@@ -108,18 +123,22 @@ def train(texts: list[bytes], labels: list[int], p: QualityParams) -> QualityMod
             rate = p.rate * (1 - done / steps)
             done += len(pick)
             hidden = np.stack([bags[i][1] @ emb[bags[i][0]] for i in pick])
-            z = hidden @ out.T + bias
+            z = np.clip(hidden @ out.T + bias, -20, 20)
             z = np.exp(z - z.max(axis=1, keepdims=True))
             err = z / z.sum(axis=1, keepdims=True)
             err[np.arange(len(pick)), y[pick]] -= 1
             err *= weight[y[pick], None]
             back = err @ out
+            back /= np.maximum(1, np.linalg.norm(back, axis=1, keepdims=True))
             out -= rate * err.T @ hidden
             bias -= rate * 0.1 * err.sum(axis=0)
             for k, i in enumerate(pick):
                 # rows of a bag are distinct; its mean's gradient is scaled up so that rare rows learn
                 emb[bags[i][0]] -= (rate * p.dim) * np.outer(np.sqrt(bags[i][1]), back[k])
-    return QualityModel(p, emb @ (out[1] - out[0]), float(bias[1] - bias[0]))
+    gain = emb @ (out[1] - out[0])
+    if not np.isfinite(gain).all():
+        raise ArithmeticError("training diverged: choose a lower rate")
+    return QualityModel(p, gain, float(bias[1] - bias[0]))
 
 
 def held_out(key: Column) -> Column:
@@ -134,8 +153,8 @@ def fit(docs: DataFrame, labels: DataFrame, p: QualityParams = QualityParams(),
     half = p.sample // 2
     picks = [known.where(F.col("y") == v).orderBy(F.xxhash64("id"), "id").limit(half) for v in (0, 1)]
     few = F.broadcast(picks[0].unionByName(picks[1]))
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).where("text is not null").join(few, "id")
-    got = sorted({(r["id"], r["y"], r["text"]) for r in rows.toLocalIterator()})
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).where(F.octet_length("text") <= p.longest).join(few, "id")
+    got = sorted({(r["id"], r["y"], r["text"]) for r in rows.collect()})
     return train([t.encode() for _, _, t in got], [y for _, y, _ in got], p)
 
 
