@@ -1,13 +1,13 @@
 """Approximate nearest neighbours by inner product over balanced posting lists.
 
 Vectors get one more coordinate, sqrt(M^2 - |x|^2) with M the largest norm, by which the largest inner product
-is the least distance. Centroids come from balanced k-means (a cluster's cost grows with its size) over a
-bounded sample and are searched by beam search in an in-memory neighbour graph. A vector near a boundary is
-written to every list whose centroid is within `spread` times its least distance, `replicas` at most; a query
-reads the lists within `reach` times its least distance, `probes` at most, and scores all they hold exactly.
+is the least distance. Centroids come from balanced bisecting k-means over a bounded sample and are searched
+by beam search in an in-memory neighbour graph. A vector near a boundary is written to every list whose
+centroid is within `spread` times its least distance, `replicas` at most; a query reads its `sure` nearest lists and those within `reach` times the distance of the last of these, `probes` at
+most, and scores all they hold exactly. Queries that found fewer than k so read every list.
 
 Equal vectors are one class, of which a search for k needs the k + 1 smallest ids only: copies never fill a
-list. A list of more than `list_rows` classes is split by a hash into parts that different tasks score.
+list. A list of more than `part_rows` classes is split by a hash into parts that different tasks score.
 
 Cases: vectors that are null, empty, zero, hold null or non-finite components, have no id or not the most
 common dimension take no part, as queries neither; repeated rows (same id and vector) count once; with fewer
@@ -38,11 +38,12 @@ class AnnParams:
     part_rows: int = 4096
     rounds: int = 10
     degree: int = 24
-    beam: int = 64
-    replicas: int = 4
-    spread: float = 1.10
-    probes: int = 64
-    reach: float = 1.6
+    beam: int = 48
+    replicas: int = 6
+    spread: float = 1.15
+    sure: int = 32
+    probes: int = 128
+    reach: float = 1.10
     seed: int = 5
 
 
@@ -51,21 +52,24 @@ def _square(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def balanced_centroids(x: np.ndarray, n: int, p: AnnParams) -> np.ndarray:
-    """n centroids by k-means in which a cluster's cost grows with the size it had a round before."""
+    """n centroids of equally large groups: groups are halved by 2-means, cut at the median of the distances' difference."""
     rng = np.random.default_rng(p.seed)
-    c = x[rng.choice(len(x), n, replace=False)].copy()
-    load = np.ones(n)
-    for _ in range(p.rounds):
-        owner = np.empty(len(x), np.int64)
-        for at in range(0, len(x), 4096):
-            d = _square(x[at : at + 4096], c)
-            owner[at : at + 4096] = (d + 0.15 * np.median(d.min(1)) * np.log(load)).argmin(1)
-        size = np.bincount(owner, minlength=n)
-        total = np.zeros_like(c)
-        np.add.at(total, owner, x)
-        c = np.where(size[:, None] > 0, total / np.maximum(size, 1)[:, None], x[rng.choice(len(x), n)])
-        load = np.maximum(size * n / len(x), 0.05)
-    return c.astype(np.float32)
+    out = []
+    todo = [(np.arange(len(x)), n)]
+    while todo:
+        rows, lists = todo.pop()
+        own = x[rows]
+        if lists == 1:
+            out.append(own.mean(axis=0))
+            continue
+        c = own[rng.choice(len(rows), 2, replace=False)]
+        left = lists // 2
+        cut = len(rows) * left // lists
+        for _ in range(p.rounds):
+            order = np.argpartition(own @ (c[1] - c[0]), cut)
+            c = np.stack([own[order[:cut]].mean(axis=0), own[order[cut:]].mean(axis=0)])
+        todo += [(rows[order[:cut]], left), (rows[order[cut:]], lists - left)]
+    return np.array(out, np.float32)
 
 
 class CentroidGraph:
@@ -87,7 +91,7 @@ class CentroidGraph:
     def search(self, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(centroids, squared distances), nearest first, by beam search."""
         n, m = len(self.c), len(q)
-        beam = min(n, max(self.p.beam, k))
+        beam = min(n, max(self.p.beam, k + k // 4))
         k = min(k, n)
         q = q.astype(np.float32)
         norm, qn = (self.c * self.c).sum(1), (q * q).sum(1)
@@ -144,13 +148,14 @@ class AnnModel:
     def lift(self, x: np.ndarray) -> np.ndarray:
         return np.concatenate([x, np.sqrt(np.maximum(0, self.top - (x.astype(np.float64) ** 2).sum(1)))[:, None]], axis=1).astype(np.float32)
 
-    def lists(self, x: np.ndarray, most: int, ratio: float) -> tuple[np.ndarray, np.ndarray]:
-        """(row, list) pairs: the lists within ratio times a row's least distance."""
+    def lists(self, x: np.ndarray, most: int, ratio: float, sure: int = 1) -> tuple[np.ndarray, np.ndarray]:
+        """(row, list) pairs: a row's `sure` nearest lists and those within ratio times the last one's distance."""
         rows, found = [], []
         step = max(1, min(2048, 64_000_000 // max(1, len(self.graph.c))))
         for at in range(0, len(x), step):
             ids, d = self.graph.search(x[at : at + step], most)
-            ok = (d <= d[:, :1] * ratio * ratio + 1e-12) & (ids >= 0)
+            at_least = min(sure, d.shape[1])
+            ok = (d <= d[:, at_least - 1 : at_least] * ratio * ratio + 1e-12) & (ids >= 0)
             r, c = np.nonzero(ok)
             rows.append(r + at)
             found.append(ids[r, c])
@@ -163,7 +168,7 @@ def usable(vector: Column) -> Column:
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
 
 
 def fit(classes: DataFrame, dim: int, n: int, top: float, p: AnnParams) -> AnnModel:
@@ -181,41 +186,47 @@ def search(vectors: DataFrame, is_query: Column, k: int, p: AnnParams = AnnParam
     """(query_id, rank, key, score): of each query row the k nearest found, its own id left out."""
     spark = vectors.sparkSession
     ship(spark)
-    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vec"), is_query.alias("q")).where(F.col("id").isNotNull() & usable(F.col("vec")))
+    kind = "float" if dict(vectors.dtypes)[vector] == "array<float>" else "double"
+    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast(f"array<{kind}>").alias("vec"), is_query.alias("q")).where(F.col("id").isNotNull() & usable(F.col("vec")))
     common = rows.groupBy(F.size("vec").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("dim")).limit(1).collect()
-    schema = "query_id long, rank int, " + f"{key} long, score double"
     if not common:
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], f"query_id long, rank int, {key} long, score double")
     dim = common[0]["dim"]
-    rows = rows.where(F.size("vec") == dim).withColumn("vec", F.transform("vec", lambda x: x + F.lit(0.0)))
+    zero = F.lit(0.0).cast(kind)  # -0 becomes 0
+    rows = rows.where(F.size("vec") == dim).withColumn("vec", F.transform("vec", lambda x: x + zero))
     first = Window.partitionBy("vec").orderBy("id")
     few = rows.select("id", "vec").withColumn("at", F.dense_rank().over(first)).where(F.col("at") <= k + 1)
     classes = few.groupBy("vec").agg(F.sort_array(F.collect_set("id")).alias("ids")).withColumn("cls", F.monotonically_increasing_id())
     classes = settle(classes, "classes")
     asked = settle(rows.where("q").select("id", "vec").distinct().join(classes.select("vec", "cls"), "vec").select("id", "cls"), "asked")
-    n, top = classes.agg(F.count("*"), F.max(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x))).first()
-    model = spark.sparkContext.broadcast(fit(classes, dim, n, float(top), p))
-    index = settle(classes.select("cls", "vec", "ids").mapInArrow(_poster(model), "list long, cls long, vec array<double>, ids array<long>"), "postings")
+    square = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    n, top, ids = classes.agg(F.count("*"), F.max(square), F.sum(F.size("ids"))).first()
+    fitted = fit(classes, dim, n, float(top), p)
+    model = spark.sparkContext.broadcast(fitted)
+    index = settle(classes.select("cls", "vec", "ids").mapInArrow(_poster(model), f"list long, cls long, vec array<{kind}>, ids array<long>"), "postings")
     parts = settle(index.groupBy("list").agg(F.ceil(F.count("*") / p.part_rows).cast("long").alias("parts")), "lists")
     held = index.join(F.broadcast(parts), "list").select(F.xxhash64("list", F.pmod(F.xxhash64("cls"), "parts")).alias("part"), F.lit(0).alias("kind"), "cls", "vec", "ids")
+
+    def nearest(queries: DataFrame, every: bool) -> DataFrame:
+        probes = queries.mapInArrow(_prober(model, every), f"list long, cls long, vec array<{kind}>").join(F.broadcast(parts), "list")
+        probes = probes.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+        probes = probes.select(F.xxhash64("list", "i").alias("part"), F.lit(1).alias("kind"), "cls", "vec", F.array().cast("array<long>").alias("ids"))
+        both = held.unionByName(probes).repartition("part").sortWithinPartitions("part", "kind")
+        near = both.mapInArrow(_scorer(dim, k + 1), "cls long, ids array<long>, scores array<double>")
+        return settle(near.repartition("cls").sortWithinPartitions("cls").mapInArrow(_merger(k + 1), "cls long, ids array<long>, scores array<double>"), "best")
+
     queries = asked.select("cls").distinct().join(classes.select("cls", "vec"), "cls")
-    probes = queries.mapInArrow(_prober(model), "list long, cls long, vec array<double>").join(F.broadcast(parts), "list")
-    probes = probes.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    probes = probes.select(F.xxhash64("list", "i").alias("part"), F.lit(1).alias("kind"), "cls", "vec", F.array().cast("array<long>").alias("ids"))
-    both = held.unionByName(probes).repartition("part").sortWithinPartitions("part", "kind")
-    near = both.mapInArrow(_scorer(dim, k + 1), "cls long, ids array<long>, scores array<double>")
-    best = near.repartition("cls").sortWithinPartitions("cls").mapInArrow(_merger(k + 1), "cls long, ids array<long>, scores array<double>")
-    best = settle(best, "best")
+    best = nearest(queries, False)
+    enough = best.where(F.size("ids") >= min(k + 1, ids))
+    short = settle(queries.join(enough, "cls", "left_anti"), "short")
+    if not short.isEmpty():
+        best = enough.unionByName(nearest(short, True))
     hits = salted_join(asked, best, ["cls"], F.col("id"), "inner")
     pairs = F.filter(F.arrays_zip("ids", "scores"), lambda x: x["ids"] != F.col("id"))
     out = hits.select(F.col("id").alias("query_id"), F.posexplode(F.slice(pairs, 1, k)).alias("pos", "hit"))
     return out.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("hit.ids").alias(key), F.col("hit.scores").alias("score"))
 
 
-def _vectors(x: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), pa.array(np.ascontiguousarray(x).ravel()))
-
-
 def _poster(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
@@ -228,7 +239,7 @@ def _poster(model):
     return run
 
 
-def _prober(model):
+def _prober(model, every: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for b in batches:
@@ -237,7 +248,10 @@ def _prober(model):
                 # a query's length doesn't change its order: it is searched at the vectors' largest norm
                 unit = x * (np.sqrt(m.top) / np.sqrt((x * x).sum(1)))[:, None]
                 lifted = np.concatenate([unit, np.zeros((len(x), 1))], axis=1).astype(np.float32)
-                row, lists = m.lists(lifted, m.params.probes, m.params.reach)
+                if every:
+                    row, lists = (v.ravel() for v in np.indices((len(x), len(m.graph.c))))
+                else:
+                    row, lists = m.lists(lifted, m.params.probes, m.params.reach, m.params.sure)
                 got = b.take(pa.array(row))
                 yield pa.record_batch([pa.array(lists, pa.int64()), got["cls"], got["vec"]], names=["list", "cls", "vec"])
 
