@@ -5,9 +5,16 @@ version, so that restoring one reads one."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern import files
+from quern.ship import ship
+from quern.tables import settle
+
 TABLES = ("recipe", "keys", "addr", "containers")
 
 
@@ -47,3 +54,24 @@ def write_log(stats: DataFrame, path: str, mode: str = "append") -> None:
 
 def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("header", True).csv(path)
+
+
+def write_objects(restored: DataFrame, path: str, suffix: str = "-d") -> DataFrame:
+    """Restored (client, version, file_id, content) as files below path: (path, size) of each.
+
+    Executors write, so path must be one that they share. A file appears under its name only when complete."""
+    ship(restored.sparkSession)
+    schema = pa.schema([("path", pa.string()), ("size", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            names, sizes = [], []
+            for client, version, file_id, content in zip(*(b[c].to_pylist() for c in ("client", "version", "file_id", "content")), strict=True):
+                name = f"{path}/{client}/{version}/{file_id}{suffix}"
+                with files.replacing(name) as f:
+                    f.write(content)
+                names.append(name)
+                sizes.append(len(content))
+            yield pa.record_batch([names, sizes], schema=schema)
+
+    return settle(restored.select("client", "version", "file_id", "content").mapInArrow(run, "path string, size long"), "written")

@@ -52,16 +52,6 @@ def settle(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop(df: DataFrame) -> None:
-    """Remove a settled table that no later plan reads."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/quern-" in name:
-            path = jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def salted_join(big: DataFrame, small: DataFrame, on: list[str], by: Column, how: str = "left", salts: int = 16) -> DataFrame:
     """Join on keys of which one may hold a large part of big's rows.
 

@@ -231,3 +231,10 @@ def test_xxh64_seed_zero(spark):
 def test_fixed_chunker_setting(spark):
     df = objects_of(spark, [("a", 0, "f", b"x" * 600)])
     assert [r["size"] for r in chunk(df, ReductionConfig(chunker="fixed")).orderBy("chunk_no").collect()] == [256, 256, 88]
+
+
+def test_restored_objects_as_files(spark, tmp_path):
+    df = objects_of(spark, [("a", 0, "f", b"one"), ("b", 2, "g", b"")])
+    rows = store.write_objects(df, str(tmp_path)).collect()
+    assert {r["path"].removeprefix(f"{tmp_path}/"): r["size"] for r in rows} == {"a/0/f-d": 3, "b/2/g-d": 0}
+    assert (tmp_path / "a/0/f-d").read_bytes() == b"one" and not list(tmp_path.rglob("*.part"))
