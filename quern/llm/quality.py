@@ -4,7 +4,8 @@ A document is a bag of features: its words; of every word with its ends marked,
 for each word that repeats the one before it, a mark (the one word pair that is not about which words). Each
 is hashed to one of `rows` learned vectors. The mean of a document's vectors goes through a softmax
 over the two labels. Vectors and output weights are trained together by stochastic gradient descent in
-numpy, from a bounded sample of labelled rows taken by least hash of their ids, so that reruns agree.
+numpy, in one task, from a bounded sample of labelled rows taken by least hash of their ids, so that reruns
+agree.
 
 Scoring needs (w1 - w0) . vector of every hashed feature only: one float for each of the `rows`, which is
 what executors get (1 MB at the default, whatever the corpus). A word's sum and number of features are kept
@@ -148,14 +149,25 @@ def held_out(key: Column) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, p: QualityParams = QualityParams(), key: str = "doc_id", text: str = "text", label: str = "quality") -> QualityModel:
     """Learn from at most p.sample labelled rows, the least by hash of each label, none of them held out."""
+    ship(docs.sparkSession)
     known = labels.select(F.col(key).cast("long").alias("id"), F.col(label).cast("int").alias("y")).where("y in (0, 1)").where(F.col("id").isNotNull() & ~held_out(F.col("id")))
     known = known.groupBy("id").agg(F.max("y").alias("y"))
     half = p.sample // 2
     picks = [known.where(F.col("y") == v).orderBy(F.xxhash64("id"), "id").limit(half) for v in (0, 1)]
     few = F.broadcast(picks[0].unionByName(picks[1]))
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).where(F.octet_length("text") <= p.longest).join(few, "id")
-    got = sorted({(r["id"], r["y"], r["text"]) for r in rows.collect()})
-    return train([t.encode() for _, _, t in got], [y for _, y, _ in got], p)
+    # one task learns from the bounded sample, so that the driver holds the finished table alone
+    made = rows.repartition(1).mapInArrow(_trainer(p), "gain binary, bias double").collect()
+    return QualityModel(p, np.frombuffer(bytes(made[0]["gain"]), np.float32), made[0]["bias"]) if made else train([], [], p)
+
+
+def _trainer(p: QualityParams):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = sorted({row for b in batches for row in zip(b["id"].to_pylist(), b["y"].to_pylist(), b["text"].to_pylist(), strict=True)})
+        model = train([t.encode() for _, _, t in got], [y for _, y, _ in got], p)
+        yield pa.record_batch([pa.array([model.gain.astype(np.float32).tobytes()], pa.binary()), pa.array([model.bias], pa.float64())], names=["gain", "bias"])
+
+    return run
 
 
 def score(docs: DataFrame, model: QualityModel, key: str = "doc_id", text: str = "text") -> DataFrame:
