@@ -15,6 +15,14 @@ SELECTORS = ((240, 0), (120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (1
 _COUNT = np.array([c for c, _ in SELECTORS])
 
 
+def _ahead(peak: np.ndarray, by: int) -> np.ndarray:
+    """Larger of each value and that `by` places on."""
+    out = peak.copy()
+    if 0 < by < len(peak):
+        np.maximum(peak[:-by], peak[by:], out=out[:-by])
+    return out
+
+
 def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(words, escapes) of uint64 values; escapes is (n, 2): position and value."""
     values = np.asarray(values, U64)
@@ -27,19 +35,18 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not n:
         return np.empty(0, U64), escapes
     best = np.full(n, len(SELECTORS) - 1, np.int8)
-    top = int(values.max())
+    peak = values.astype(np.uint32) if int(values.max()) >> 32 == 0 else values
+    spans, size = {1: peak}, 1  # largest value of the `size` values from each place on; beyond the end nothing
     for s in range(len(SELECTORS) - 2, -1, -1):
         count, bits = SELECTORS[s]
-        if top >> bits == 0:
-            best[:] = s  # fits everywhere; a partly filled last word is padded
-            continue
-        wide = values >> U64(bits) != 0
-        if n - np.count_nonzero(wide) < min(count, n):
+        while size * 2 <= count:
+            spans[size * 2] = _ahead(spans[size], size)
+            size *= 2
+        most = _ahead(spans[size], count - size)
+        fits = most < (1 << bits)
+        if not fits.any():
             break
-        # distance to the next value that is too wide
-        nxt = np.where(wide, np.arange(n), n + count)
-        nxt = np.minimum.accumulate(nxt[::-1])[::-1]
-        best[nxt - np.arange(n) >= count] = s
+        np.putmask(best, fits, s)
     step = _COUNT[best].tolist()
     starts, i = [], 0
     put = starts.append

@@ -6,8 +6,9 @@ a row for each document. A file is: magic; blocks of `block_ids` ids, each its w
 with the blocks' offsets and sizes, the documents' ids and numbers of tokens; the footer's offset.
 
 Texts are cut at ASCII white space and each distinct piece goes through the tokenizer once in a while (a
-bounded table keeps ids by piece). That is exact for tokenizers that never merge across white space and
-normalise it away, which `split_safe` states; with it off, whole texts are encoded.
+bounded table keeps ids by piece). That is exact for tokenizers that lower-case, normalise white space away
+and never merge across it or across letters and marks, which `split_safe` states; with it off, whole texts
+are encoded.
 
 Cases: null and blank texts have the end id alone; repeated rows are documents of their own; no rows make no
 file and no rows; extra columns are ignored.
@@ -15,17 +16,21 @@ file and no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm import files
+from quern import files
 from quern.llm.common import new_path, settle
 from quern.llm.simple8b import decode, encode
 from quern.ship import ship
@@ -33,6 +38,7 @@ from quern.ship import ship
 #: Fixed value: begins and ends every file.
 MAGIC = b"QS8B0001"
 U64 = np.uint64
+LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
 @dataclass(frozen=True)
@@ -41,40 +47,106 @@ class TokenParams:
     end_id: int = 2
     block_ids: int = 1 << 16
     split_safe: bool = True
-    memo_pieces: int = 400_000
+    memo_pieces: int = 1_000_000
+
+
+class _Places(dict):
+    """Piece -> its number; a new piece gets the next one and waits to be encoded."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[bytes] = []
+
+    def __missing__(self, piece: bytes) -> int:
+        n = self[piece] = len(self)
+        self.new.append(piece)
+        return n
+
+
+#: A word and the marks behind it: never one token, as no pre-token has both letters and marks.
+TAIL = re.compile(rb"(.*[a-z\x80-\xff])([.,!?;:*%$&#|]+)", re.DOTALL)
+
+
+def _byte_level() -> dict[int, str]:
+    """The characters that stand for bytes in byte-level vocabularies: printable ones for themselves, the rest from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
 class PieceTable:
     """Token ids by piece of text: pieces' places in one growing array."""
 
     def __init__(self, p: TokenParams):
-        import os
-
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.p, self.tok = p, Tokenizer.from_file(p.tokenizer)
         self.many = getattr(self.tok, "encode_batch_fast", self.tok.encode_batch)
+        self.model, self.level = self.tok.model, _byte_level()
+        probe = ["a", "the", "wordiness", "été", "über", "ñandú", "größe", "слово", "言葉", "x" * 40]
+        self.direct = p.split_safe and all(self._word(w) == self.tok.encode(w, add_special_tokens=False).ids for w in probe)
         self.clear()
 
+    def _word(self, word: str) -> list[int]:
+        """The ids of a lower-case word of letters, from the model itself: normalising would not change it."""
+        return [t.id for t in self.model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(self.level))]
+
     def clear(self) -> None:
-        self.place: dict[bytes, int] = {}
+        self.place = _Places()
         self.start, self.length = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
         self.flat, self.used = np.zeros(4096, np.uint32), 0
 
-    def add(self, pieces: list[bytes]) -> None:
-        found = [e.ids for e in self.many([x.decode("utf-8", "replace") for x in pieces], add_special_tokens=False)]
-        lens = np.array([len(x) for x in found], np.int64)
-        at, total = len(self.place), int(lens.sum())
-        while at + len(pieces) > len(self.start):
-            self.start, self.length = np.concatenate([self.start, self.start]), np.concatenate([self.length, self.length])
+    def _put(self, numbers: list[int], flat: np.ndarray, lens: np.ndarray) -> None:
+        total = len(flat)
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, self.flat])
-        self.flat[self.used : self.used + total] = np.fromiter((i for x in found for i in x), np.uint32, total)
-        self.start[at : at + len(pieces)] = self.used + np.cumsum(lens) - lens
-        self.length[at : at + len(pieces)] = lens
+        self.flat[self.used : self.used + total] = flat
+        self.start[numbers] = self.used + np.cumsum(lens) - lens
+        self.length[numbers] = lens
         self.used += total
-        self.place.update(zip(pieces, range(at, at + len(pieces)), strict=True))
+
+    def _encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return self._flat([e.ids for e in self.many(pieces, add_special_tokens=False)])
+
+    @staticmethod
+    def _flat(found: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+        return np.fromiter(chain.from_iterable(found), np.uint32), np.array([len(x) for x in found], np.int64)
+
+    def _fill(self) -> None:
+        place, new = self.place, self.place.new
+        words, other, joined = [], [], []
+        direct, tokenize = self.direct, self.model.tokenize
+        i = 0
+        while i < len(new):  # stems and tails join the queue
+            piece = new[i]
+            i += 1
+            if direct and piece.isalpha():
+                words.append((place[piece], [t.id for t in tokenize(piece.decode("ascii"))]))
+                continue
+            text = piece.decode("utf-8", "replace")
+            if direct and text.isalpha() and (text == text.lower() and is_normalized("NFC", text)):
+                words.append((place[piece], self._word(text)))
+            elif (m := TAIL.fullmatch(piece)) and m[1].decode("utf-8", "replace")[-1].isalpha():
+                joined.append((place[piece], place[m[1]], place[m[2]]))
+            else:
+                other.append((place[piece], text))
+        while len(place) > len(self.start):
+            self.start, self.length = np.concatenate([self.start, self.start]), np.concatenate([self.length, self.length])
+        if words:
+            self._put([n for n, _ in words], *self._flat([x for _, x in words]))
+        if other:
+            self._put([n for n, _ in other], *self._encode([t for _, t in other]))
+        if joined:
+            n, a, b = np.array(joined).T
+            both = np.stack([a, b], axis=1).ravel()
+            lens = self.length[both]
+            self._put(n, self._gather(both, lens), lens.reshape(-1, 2).sum(axis=1))
+        new.clear()
+
+    def _gather(self, numbers: np.ndarray, lens: np.ndarray) -> np.ndarray:
+        ends = np.cumsum(lens)
+        return self.flat[np.repeat(self.start[numbers] - (ends - lens), lens) + np.arange(int(lens.sum()))]
 
     def ids(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, tokens of each text), the end id after each text."""
@@ -84,24 +156,22 @@ class PieceTable:
             return np.fromiter((i for x in found for i in x), np.uint32), np.array([len(x) for x in found], np.int64)
         if len(self.place) > p.memo_pieces:
             self.clear()
-        parts = [t.split() for t in texts]
-        get = self.place.get
-        at = [i for w in parts for i in map(get, w)]
-        if None in at:
-            new = list(dict.fromkeys(x for w in parts for x in w if x not in self.place))
-            self.add(new)
-            at = [i for w in parts for i in map(get, w)]
+        parts = [t.translate(LOWER).split() for t in texts]
+        get = self.place.__getitem__
+        at: list[int] = []
+        for w in parts:
+            at.extend(map(get, w))
+        if self.place.new:
+            self._fill()
         place = np.array(at, np.int64)
         lens = self.length[place]
         counts = np.array([len(w) for w in parts], np.int64)
         ends = np.concatenate(([0], np.cumsum(lens)))
         sizes = ends[np.cumsum(counts)] - ends[np.cumsum(counts) - counts] + 1
         out = np.full(int(sizes.sum()), p.end_id, np.uint32)
-        owner = np.repeat(np.arange(len(parts)), counts)
-        to = ends[:-1] + owner  # one end id before for each text before
-        if len(place):
-            within = np.arange(int(lens.sum())) - np.repeat(ends[:-1], lens)
-            out[np.repeat(to, lens) + within] = self.flat[np.repeat(self.start[place], lens) + within]
+        keep = np.ones(len(out), bool)
+        keep[np.cumsum(sizes) - 1] = False
+        out[keep] = self._gather(place, lens)
         return out, sizes
 
 
