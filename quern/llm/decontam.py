@@ -31,7 +31,7 @@ GAP = re.compile(r"(?: *(?:[^\w ]|_)(?:\W|_)*| {2,})")
 
 @dataclass(frozen=True)
 class DecontamParams:
-    rate: float = 0.05  # edits an item character
+    rate: float = 0.07  # edits an item character
     least_chars: int = 24
     slice_chars: int = 2_000_000
 
