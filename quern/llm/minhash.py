@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import components, salted_join, settle
+from quern.llm.common import components, fresh, salted_join, settle
 from quern.ship import ship
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -147,14 +147,14 @@ def _sketcher(p: NearDupParams):
 
 
 def _setter(p: NearDupParams):
-    schema = pa.schema([("task", pa.int64()), ("cand", pa.int64()), ("sig", pa.binary()), ("items", pa.binary())])
+    schema = pa.schema([("task", pa.int64()), ("cand", pa.int64()), ("blocks", pa.int64()), ("sig", pa.binary()), ("items", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, len(whole), 256):
                 b = whole.slice(at, 256)
                 sets = [shingle_set(x.as_buffer().to_pybytes(), p.words) for x in b["text"].cast(pa.binary())]
-                yield pa.record_batch([b["task"], b["cand"], b["sig"], pa.array([s.tobytes() for s in sets], pa.binary())], schema=schema)
+                yield pa.record_batch([b["task"], b["cand"], b["blocks"], b["sig"], pa.array([s.tobytes() for s in sets], pa.binary())], schema=schema)
 
     return run
 
@@ -252,7 +252,7 @@ LINKS = "cand long, a binary, b binary, hub boolean"
 
 def _compare(sets: DataFrame, percent: int) -> DataFrame:
     """Verify (task, cand, sig, items): every pair within a task."""
-    return sets.repartition("task").sortWithinPartitions("task").mapInArrow(_verifier(percent), LINKS)
+    return sets.select("task", "cand", "sig", "items").repartition("task").sortWithinPartitions("task").mapInArrow(_verifier(percent), LINKS)
 
 
 def near_duplicates(docs: DataFrame, p: NearDupParams = NearDupParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -296,14 +296,15 @@ def _mark(classes: DataFrame, cands: DataFrame, p: NearDupParams) -> DataFrame:
 
 def _verify(rows: DataFrame, marked: DataFrame, p: NearDupParams) -> DataFrame:
     """Links (a, b) that join exactly what the full sets' links join within each candidate group."""
-    texts = rows.select("rk", "text").join(marked.hint("shuffle_hash"), "rk").select("task", "cand", "sig", "text")
-    sets = texts.mapInArrow(_setter(p), "task long, cand long, sig binary, items binary")
+    texts = rows.select("rk", "text").join(marked.hint("shuffle_hash"), "rk").select("task", "cand", "blocks", "sig", "text")
+    sets = texts.mapInArrow(_setter(p), "task long, cand long, blocks long, sig binary, items binary")
     wide = marked.where("blocks > 1")
     if wide.isEmpty():
         return settle(_compare(sets, p.percent), "links")
     sets = settle(sets, "sets")
     links = settle(_compare(sets, p.percent), "links")
     # Groups of several blocks: the blocks' hubs meet first, as most of such a group is one component.
+    sets = sets.where("blocks > 1")  # only these groups' sets move again
     big = settle(wide.select("sig", "cand", "block", "blocks"), "big")
     hubs = links.where("hub").join(big.select(F.col("sig").alias("b"), "blocks"), "b", "left_semi").select("cand", F.col("b").alias("sig")).distinct()
     many = settle(hubs.groupBy("cand").agg(F.ceil(F.count("*") / p.block).cast("long").alias("parts")), "hubs")
@@ -338,11 +339,11 @@ def dedup(docs: DataFrame, p: NearDupParams, id_col: str = "doc_id", text_col: s
     first = own.where("sig is not null").groupBy("component_id").agg(F.min("rk").alias("rk"), F.countDistinct("rk").alias("kinds"))
     lost = own.where("sig is not null").join(settle(first.where("kinds > 1"), "first").select("component_id", F.col("rk").alias("keep")), "component_id", "left")
     keep = own.where("sig is null").select("rk").unionByName(lost.where("keep is null or keep = rk").select("rk"))
-    times = keep.groupBy("rk").agg(F.count("*").alias("_times"))
-    data = docs.withColumn("_rk", F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string")))
-    kept = data.join(times.withColumnRenamed("rk", "_rk").hint("shuffle_hash"), "_rk")
-    once = kept.where("_times = 1").select(*docs.columns)
-    again = kept.where("_times > 1")
+    rk, times, row = (fresh(n, docs.columns) for n in ("_rk", "_times", "_row"))
+    often = keep.groupBy(F.col("rk").alias(rk)).agg(F.count("*").alias(times))
+    data = docs.withColumn(rk, F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string")))
+    kept = data.join(often.hint("shuffle_hash"), rk)
     cols = [F.col(c) for c in docs.columns]
-    same = again.groupBy("_rk").agg(F.min_by(F.struct(*cols), F.xxhash64(*cols)).alias("_row")).select("_row.*")
+    once = kept.where(F.col(times) == 1).select(*docs.columns)
+    same = kept.where(F.col(times) > 1).groupBy(rk).agg(F.min_by(F.struct(*cols), F.xxhash64(*cols)).alias(row)).select(f"{row}.*")
     return once.unionByName(same)
