@@ -27,7 +27,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import settle
+from quern.llm.common import fresh, salted_join, settle
 
 #: Fixed value: words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -39,7 +39,7 @@ class MixParams:
     most: int = 3
     seed: str = "mix"
     buckets: int = 4096
-    fills: int = 3
+    fills: int = 5
 
 
 def words(text: Column) -> Column:
@@ -75,38 +75,41 @@ def mix(docs: DataFrame, p: MixParams = MixParams(), key: str = "doc_id", text:
     """(rk, key, size, source_size, target, taken, copies) of every row; rk is the hash of id, text and source."""
     k, t, s = F.col(key).cast("long"), F.col(text).cast("string"), F.col(source).cast("string")
     rows = docs.select(k.alias("id"), s.alias("source"), words(t).alias("size"), F.xxhash64(k, t, s).alias("rk"), (F.col(favour).cast("double") if favour else F.lit(1.0)).alias("fav"))
-    rows = settle(rows.withColumn("row", F.monotonically_increasing_id()).withColumn("u", uniform(p.seed, F.col("id"), F.col("size"))), "mix")
-    shares = settle(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), p), "targets")
+    # src: the source as a key that is never null
+    src = F.when(F.col("source").isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), "source"))
+    rows = settle(rows.withColumns({"row": F.monotonically_increasing_id(), "u": uniform(p.seed, F.col("id"), F.col("size")), "src": src}), "mix")
+    sizes = rows.groupBy("src").agg(F.any_value("source").alias("source"), F.sum("size").alias("source_size"))
+    shares = targets(sizes.select("source", "source_size"), p).withColumn("src", src)
     fold = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    shares = shares.withColumn("whole", fold).withColumn("left", F.col("target") - F.col("whole") * F.col("source_size"))
-    ranked = rows.join(shares.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    shares = settle(shares.drop("source").withColumn("whole", fold).withColumn("left", F.col("target") - F.col("whole") * F.col("source_size")), "targets")
+    ranked = salted_join(rows.drop("source"), shares, ["src"], F.col("row"), "inner")
     chance = F.col("left") / F.col("source_size")
     odds = (F.col("u") / (1 - F.col("u"))) / (chance / (1 - chance) * F.col("fav"))
     ranked = ranked.withColumn("q", F.when(F.col("left") > 0, odds)).withColumn("bucket", F.floor(F.col("q") / (1 + F.col("q")) * p.buckets).cast("int"))
     # the bucket in which each source's cumulated words pass what is left of its target
-    sums = ranked.where("q is not null").groupBy("source", "bucket", "left").agg(F.sum("size").alias("words"))
-    run = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    sums = ranked.where("q is not null").groupBy("src", "bucket", "left").agg(F.sum("size").alias("words"))
+    run = Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     passed = sums.withColumn("upto", F.sum("words").over(run)).where(F.col("upto") > F.col("left"))
     first = F.min(F.struct("bucket", (F.col("upto") - F.col("words")).alias("had"))).alias("at")
-    cut = settle(passed.groupBy("source").agg(first).select("source", F.col("at.bucket").alias("cut"), "at.had"), "cut")
-    ranked = ranked.join(cut.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
+    cut = settle(passed.groupBy("src").agg(first).select("src", F.col("at.bucket").alias("cut"), "at.had"), "cut")
+    ranked = salted_join(ranked, cut, ["src"], F.col("row"))
     edge = ranked.where("bucket = cut")
-    order = Window.partitionBy("source").orderBy("q", "id", "size", "rk", "row").rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy("src").orderBy("q", "id", "size", "rk", "row").rowsBetween(Window.unboundedPreceding, 0)
     edge = edge.withColumn("upto", F.col("had") + F.sum("size").over(order)).where(F.col("upto") <= F.col("left"))
-    chosen = settle(edge.select("row", "source", "size"), "edge")
-    inside = ranked.where("q is not null and (cut is null or bucket < cut)").groupBy("source").agg(F.sum("size").alias("words"))
-    got = inside.unionByName(chosen.groupBy("source").agg(F.sum("size").alias("words"))).groupBy("source").agg(F.sum("words").alias("words"))
-    gaps = shares.join(got.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").select("source", (F.col("left") - F.coalesce("words", F.lit(0))).alias("gap"))
+    chosen = settle(edge.select("row", "src", "size"), "edge")
+    inside = ranked.where("q is not null and (cut is null or bucket < cut)").groupBy("src").agg(F.sum("size").alias("words"))
+    got = inside.unionByName(chosen.groupBy("src").agg(F.sum("size").alias("words"))).groupBy("src").agg(F.sum("words").alias("words"))
+    gaps = settle(shares.join(got, "src", "left").select("src", (F.col("left") - F.coalesce("words", F.lit(0))).alias("gap")), "gaps")
     more = chosen.select("row")
     # what stays outside the cut, largest fitting document first
-    rest = ranked.where("q is not null and bucket >= cut and size > 0").select("row", "source", "size", "q", "id", "rk").join(more, "row", "left_anti")
+    rest = ranked.where("q is not null and bucket >= cut and size > 0").select("row", "src", "size", "q", "id", "rk").join(more, "row", "left_anti")
     for _ in range(p.fills):
-        fit = rest.join(gaps.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).where("size <= gap")
-        best = fit.groupBy("source").agg(F.max_by(F.struct("row", "size"), F.struct("size", -F.col("q"), -F.col("id"), "rk", "row")).alias("pick"), F.first("gap").alias("gap"))
-        best = settle(best.select("source", "pick.row", "pick.size", "gap"), "fill")
+        fit = salted_join(rest, gaps, ["src"], F.col("row"), "inner").where("size <= gap")
+        best = fit.groupBy("src").agg(F.max_by(F.struct("row", "size"), F.struct("size", -F.col("q"), -F.col("id"), "rk", "row")).alias("pick"), F.first("gap").alias("gap"))
+        best = settle(best.select("src", "pick.row", "pick.size", "gap"), "fill")
         more = more.unionByName(best.select("row"))
         rest = rest.join(best.select("row"), "row", "left_anti")
-        gaps = best.select("source", (F.col("gap") - F.col("size")).alias("gap"))
+        gaps = best.select("src", (F.col("gap") - F.col("size")).alias("gap"))
     extra = settle(more.withColumn("more", F.lit(1)), "extra")
     ranked = ranked.join(extra, "row", "left")
     taken = F.col("whole") + F.when(F.col("q").isNotNull() & (F.col("cut").isNull() | (F.col("bucket") < F.col("cut"))), 1).otherwise(F.coalesce("more", F.lit(0)))
@@ -115,10 +118,11 @@ def mix(docs: DataFrame, p: MixParams = MixParams(), key: str = "doc_id", text:
 
 def mixed(docs: DataFrame, p: MixParams = MixParams(), key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """docs as the mix takes them: every row as often as its copies, with docs' columns."""
-    copies = mix(docs, p, key, text, source).groupBy("rk").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows")).withColumnRenamed("rk", "_rk")
-    rk = F.xxhash64(F.col(key).cast("long"), F.col(text).cast("string"), F.col(source).cast("string"))
-    found = docs.withColumn("_rk", rk).join(copies.where("_copies > 0").hint("shuffle_hash"), "_rk")
+    rk, copies, rows, row, one = (fresh(n, docs.columns) for n in ("_rk", "_copies", "_rows", "_row", "_one"))
+    took = mix(docs, p, key, text, source).groupBy(F.col("rk").alias(rk)).agg(F.sum("copies").alias(copies), F.count("*").alias(rows))
+    mark = F.xxhash64(F.col(key).cast("long"), F.col(text).cast("string"), F.col(source).cast("string"))
+    found = docs.withColumn(rk, mark).join(took.where(F.col(copies) > 0).hint("shuffle_hash"), rk)
     cols = [F.col(c) for c in docs.columns]
-    again = found.where("_rows > 1").groupBy("_rk", "_copies").agg(F.min_by(F.struct(*cols), F.xxhash64(*cols)).alias("_row")).select("_row.*", "_copies")
-    whole = found.where("_rows = 1").select(*docs.columns, "_copies").unionByName(again)
-    return whole.withColumn("_one", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
+    again = found.where(F.col(rows) > 1).groupBy(rk, copies).agg(F.min_by(F.struct(*cols), F.xxhash64(*cols)).alias(row)).select(f"{row}.*", copies)
+    whole = found.where(F.col(rows) == 1).select(*docs.columns, copies).unionByName(again)
+    return whole.withColumn(one, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).select(*docs.columns)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import importlib.util
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,12 +80,6 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(write(_read(spark, sf_dir, "documents"), TokenParams(public_tokenizers.path("word_bpe_49k.json"))))
 
 
-def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
-
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontam": op1_decontam,
     "op2_secrets": op2_secrets,
@@ -97,9 +91,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_warc": op9_warc,
     "op10_tokens": op10_tokens,
+    "pipeline": corpus_pipeline.run,
 }
-if importlib.util.find_spec("corpus_pipeline"):
-    QUERIES["pipeline"] = pipeline
 
 _FILLS = "".join(
     f""",
@@ -108,7 +101,7 @@ fill{i} AS (
   SELECT id, source, size, gap - size AS gap FROM (
     SELECT r.id, r.source, r.size, g.gap, row_number() OVER (PARTITION BY r.source ORDER BY r.size DESC, r.q, r.id) AS rn
     FROM rest{i} r JOIN fill{i - 1} g ON r.source IS NOT DISTINCT FROM g.source WHERE r.size <= g.gap) WHERE rn = 1)"""
-    for i in (2, 3)
+    for i in (2, 3, 4, 5)
 )
 
 ORACLES: dict[str, str] = {
@@ -130,6 +123,27 @@ SELECT conv_id, part, CAST(piece AS BIGINT) AS piece, perspective, CAST(count(*)
        string_agg(head || body || chr(10), '' ORDER BY pos) AS text,
        coalesce(string_agg(CAST(CAST(before + length(head) AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(before + length(head) + length(body) AS BIGINT) AS VARCHAR), ',' ORDER BY pos) FILTER (WHERE own), '') AS mask
 FROM placed GROUP BY conv_id, part, piece, perspective
+""",
+    "op4_jump": r"""
+WITH RECURSIVE tab AS (
+  SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(0, 256) r(i)),
+d AS (SELECT row_number() OVER () AS r, doc_id, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n, hex(encode(coalesce(text, ''))) AS h FROM documents),
+e AS (SELECT r, doc_id, n + 1 AS size, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, n), lambda i: CAST('0x' || substr(h, CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT))),
+             lambda c, b: xor(c >> 8, t[CAST(xor(c, b) & 255 AS INT) + 1])), 4294967295) AS text_crc32 FROM d, tab),
+w AS (
+  SELECT r, s, CAST(-1 AS BIGINT) AS b, CAST(0 AS BIGINT) AS j, CASE WHEN coalesce(doc_id, 0) < 0 THEN CAST(doc_id AS HUGEINT) + 18446744073709551616 ELSE CAST(coalesce(doc_id, 0) AS HUGEINT) END AS k FROM e, (VALUES (16), (17)) v(s)
+  UNION ALL
+  SELECT r, s, j, CAST(floor((j + 1) * (2147483648.0::DOUBLE / CAST(((k * 2862933555777941757 + 1) % 18446744073709551616) // 8589934592 + 1 AS DOUBLE))) AS BIGINT), (k * 2862933555777941757 + 1) % 18446744073709551616
+  FROM w WHERE j < s),
+g AS (SELECT r, CAST(max(b) FILTER (WHERE s = 16) AS INT) AS shard, CAST(max(b) FILTER (WHERE s = 17) AS INT) AS grown_shard FROM w WHERE j >= s GROUP BY r),
+l AS (SELECT e.*, g.shard, g.grown_shard, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || CAST(text_crc32 AS VARCHAR)), 1, 6) AS INT) % 256 AS lane FROM e JOIN g USING (r))
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY lane, doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, grown_shard FROM l
+""",
+    "op9_warc": """
+WITH p AS (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha256(encode(coalesce(html, ''))) AS payload_digest FROM pages),
+f AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first IS NULL OR first IS NOT DISTINCT FROM page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first IS NOT DISTINCT FROM page_id THEN NULL ELSE first END AS refers_to FROM p LEFT JOIN f USING (payload_digest)
 """,
     "op7_pareto": r"""
 WITH raw AS (
@@ -159,7 +173,7 @@ fill1 AS (
     FROM rest1 r JOIN gap0 g ON r.source IS NOT DISTINCT FROM g.source WHERE r.size <= g.gap) WHERE rn = 1)"""
     + _FILLS
     + r""",
-more AS (SELECT id FROM chosen UNION ALL SELECT id FROM fill1 UNION ALL SELECT id FROM fill2 UNION ALL SELECT id FROM fill3)
+more AS (SELECT id FROM chosen UNION ALL SELECT id FROM fill1 UNION ALL SELECT id FROM fill2 UNION ALL SELECT id FROM fill3 UNION ALL SELECT id FROM fill4 UNION ALL SELECT id FROM fill5)
 SELECT id AS doc_id, size, source_size, target, CAST((whole + CASE WHEN id IN (SELECT id FROM more) THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM ranked
 """,
 }
