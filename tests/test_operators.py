@@ -101,6 +101,17 @@ def test_next_fit(spark):
     assert got == {0: (0, 0), 1: (1, 0), 2: (1, 50), 3: (2, 0), 4: (3, 0), 5: (0, 0)}
 
 
+def test_containers_whose_names_share_their_first_digits(spark):
+    # SHA-256 of all:57784 and all:82608 share their first 8 hex digits
+    rows = spark.range(82_609).select(F.lit("all").alias("client"), F.col("id").alias("seq"), F.lit(4).cast("long").alias("size"), F.encode(F.lpad(F.hex("id"), 8, "0"), "UTF-8").alias("payload"))
+    rows = rows.withColumn("payload", F.substring("payload", 5, 4))
+    addr = pack.addresses(rows.drop("payload"), 4)
+    some = addr.where("seq in (57784, 82608)")
+    bodies = pack.container_bodies(some.join(rows.select("seq", "payload"), "seq"))
+    got = {r["seq"]: (r["container_no"], bytes(r["payload"])) for r in pack.fetch(some, bodies).collect()}
+    assert got == {i: (i, f"{i:08X}"[4:].encode()) for i in (57784, 82608)}
+
+
 def test_block_cipher_vector_and_counter_mode(spark):
     key = bytes(range(32))
     df = spark.createDataFrame([(bytearray(bytes.fromhex("00112233445566778899aabbccddeeff")),)], "data binary")
