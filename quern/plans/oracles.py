@@ -43,6 +43,10 @@ w AS (
 _LABEL = C256 + ", l AS (SELECT *, row_number() OVER (PARTITION BY fp ORDER BY version, file_id, chunk_no) = 1 AS first FROM c)"
 _TOUCH = C1024 + ", t AS (SELECT client, substr(fp, 1, 2) AS feature, max(version) AS version FROM c GROUP BY ALL)"
 
+_WHOLE = _SHINGLES + """,
+t AS (SELECT c.client, feat.f AS feature, max(c.version) AS version FROM c JOIN feat USING (fp) GROUP BY ALL),
+cur AS (SELECT max(version) AS now FROM c)"""
+
 
 def _stats(ctes: str, by: str = "") -> str:
     cols = f"{by}, " if by else ""
@@ -112,6 +116,11 @@ c AS (SELECT version, CAST(length(hx) // 2 AS BIGINT) AS size, sha256(unhex(hx))
     "version_window_evicted": f"WITH {_TOUCH} SELECT client, feature, version FROM t WHERE 3 - version >= 1",
     "cache_refcount": f"""WITH {_TOUCH}, own AS (SELECT client, substr(fp, 1, 2) AS feature, min(fp) AS base_fp FROM c GROUP BY ALL),
 live AS (SELECT own.client, own.base_fp, count(*) AS refs FROM own JOIN t USING (client, feature) WHERE 3 - t.version < 1 GROUP BY ALL), sz AS (SELECT fp AS base_fp, max(size) AS size FROM c GROUP BY fp)
+SELECT client, base_fp, refs, size FROM live JOIN sz USING (base_fp)""",
+    "version_window_index_whole": f"WITH {_WHOLE} SELECT client, feature, version FROM t, cur WHERE now - version < 1",
+    "version_window_evicted_whole": f"WITH {_WHOLE} SELECT client, feature, version FROM t, cur WHERE now - version >= 1",
+    "cache_refcount_whole": f"""WITH {_WHOLE}, own AS (SELECT c.client, feat.f AS feature, min(c.fp) AS base_fp FROM c JOIN feat USING (fp) GROUP BY ALL),
+live AS (SELECT own.client, own.base_fp, count(*) AS refs FROM own JOIN t USING (client, feature), cur WHERE now - t.version < 1 GROUP BY ALL), sz AS (SELECT fp AS base_fp, max(size) AS size FROM c GROUP BY fp)
 SELECT client, base_fp, refs, size FROM live JOIN sz USING (base_fp)""",
     "stream_unique_chunks": f"WITH {C256}, d AS (SELECT DISTINCT client, fp, size FROM c) SELECT client, count(*) AS unique_chunks, {_SUM} AS unique_bytes FROM d GROUP BY client",
     "stream_version_index": f"WITH {C256}, d AS (SELECT fp, min(version) AS version, max(size) AS size FROM c GROUP BY fp) SELECT version, count(*) AS new_chunks, {_SUM} AS new_bytes FROM d GROUP BY version",

@@ -468,6 +468,38 @@ def cache_refcount(spark: SparkSession, sf: str) -> DataFrame:
     return versions.reference_counts(index, sizes)
 
 
+def _feature_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """(client, version, fp, size, feature) of every chunk, by the whole super-features of _shingled."""
+    rows = _fixed(spark, sf, 1024).select("client", "version", "fp", F.col("size").cast("long").alias("size"))
+    return settle(rows.join(_shingled(spark, sf).select("fp", F.explode(F.array_distinct("features")).alias("feature")), "fp"), "touches")
+
+
+def _current(rows: DataFrame) -> int:
+    return rows.agg(F.max("version")).first()[0] or 0
+
+
+@query
+def version_window_index_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """The index by whole super-features after the table's last version; version_window_index has two digits of a fingerprint."""
+    rows = _feature_rows(spark, sf)
+    return versions.live_features(rows, _current(rows), CFG.keep_versions)
+
+
+@query
+def version_window_evicted_whole(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _feature_rows(spark, sf)
+    return versions.evicted(rows, _current(rows), CFG.keep_versions)
+
+
+@query
+def cache_refcount_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """cache_refcount by whole super-features."""
+    rows = _feature_rows(spark, sf)
+    live = versions.live_features(rows, _current(rows), CFG.keep_versions)
+    index = rows.groupBy("client", "feature").agg(F.min("fp").alias("base_fp")).join(live, ["client", "feature"], "left_semi")
+    return versions.reference_counts(index, rows.groupBy(F.col("fp").alias("base_fp")).agg(F.max("size").alias("size")))
+
+
 @query
 def window_similarity(spark: SparkSession, sf: str) -> DataFrame:
     """Similar chunks of every client and version under the version window."""

@@ -11,6 +11,7 @@ from quern.functions.register import register
 from quern.operators import crypto, dedup, keys, pack, similarity, versions
 from quern.operators.chunk import chunk, content_defined, fixed
 from quern.plans import pipelines
+from quern.plans.queries import QUERIES
 from quern.sources import objects, store
 from quern.tables import components, salted_join
 
@@ -112,6 +113,17 @@ def test_containers_whose_names_share_their_first_digits(spark):
     assert got == {i: (i, f"{i:08X}"[4:].encode()) for i in (57784, 82608)}
 
 
+def test_window_queries_have_whole_features(spark, tmp_path):
+    # 400 chunks a version of one client, none of the first in the last: two digits of a fingerprint are all touched again
+    rng = random.Random(11)
+    texts = [(i, f"src{25 * (i >= 400)}", "".join(rng.choices("abcdefghij", k=60))) for i in range(800)]
+    spark.createDataFrame([(i, t, "en", s) for i, s, t in texts], "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    live, gone = (QUERIES[f"version_window_{n}_whole"](spark, str(tmp_path)).collect() for n in ("index", "evicted"))
+    assert {r["version"] for r in live} == {5} and {r["version"] for r in gone} == {0} and len(live) > 1000 < len(gone)
+    assert all(len(r["feature"]) == 32 for r in live + gone) and not {r["feature"] for r in live} & {r["feature"] for r in gone}
+    assert QUERIES["cache_refcount_whole"](spark, str(tmp_path)).count() > 256
+
+
 def test_block_cipher_vector_and_counter_mode(spark):
     key = bytes(range(32))
     df = spark.createDataFrame([(bytearray(bytes.fromhex("00112233445566778899aabbccddeeff")),)], "data binary")
