@@ -4,9 +4,10 @@ Everything is DataFrame expressions: models are counted from labelled samples by
 scanned row by row without a shuffle.
 
 Base kinds (fixed patterns, leftmost and non-overlapping each): assign, access, hex. The method's kind is
-markov: runs of key characters of `least` or more, that touch no base span and hold a letter and a digit, of
-which two first-order character models, one of random strings and one of ordinary identifiers and words,
-give a log-likelihood ratio of at least `bar` nats a character.
+markov: what base spans leave of runs of key characters, in pieces of `least` or more, of which two first-order
+character models, one of random strings and one of ordinary identifiers and words, give a log-likelihood ratio
+of at least `bar` nats a character. A piece below the bar is searched for its stretch of `least` or more that is
+furthest above it in sum, then what lies before and behind that stretch. All must hold a letter and a digit.
 
 Places are code points, end exclusive. They follow from the lengths of a pattern's matches and of what
 lies between them.
@@ -105,6 +106,73 @@ def ratio(text: Column, model: list[float]) -> Column:
 
 
 SPANS = "array<struct<start:int,end:int,rank:int,kind:string,text:string>>"
+PIECES = "array<struct<start:int,end:int>>"
+
+
+def _mixed(text: Column) -> Column:
+    return text.rlike("[0-9]") & text.rlike("[A-Za-z]")
+
+
+def _bind(value: Column, f) -> Column:
+    """f(value), with value computed once."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def best_stretch(text: Column, model: list[float], p: SecretParams) -> Column:
+    """(sum, start, end) of the stretch of `least` characters or more whose ratios exceed the bar most in sum.
+
+    One pass over prefix sums: the least of those that end `least` characters back is the best start."""
+    table = F.split(F.lit(",".join(map(str, model))), ",").cast("array<double>")
+    codes = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.instr(F.lit(ALPHABET), c))
+    before = lambda c: F.concat(F.array(F.lit(0)), c)
+    over = lambda c: F.transform(F.arrays_zip(F.slice(before(c), F.lit(1), F.size(c)).alias("a"), c.alias("b")), lambda x: F.element_at(table, x["a"] * WIDTH + x["b"] + 1) - p.bar)
+    none = F.array_repeat(F.lit(0.0), p.least)
+    zero = F.struct(F.lit(0).alias("j"), F.lit(0.0).alias("p"), F.lit(0.0).alias("q"), F.lit(0.0).alias("low"), F.lit(0).alias("at"), F.lit(-1.0).alias("sum"), F.lit(0).alias("start"), F.lit(0).alias("end"))
+
+    def step(s: Column, x: Column) -> Column:
+        j, now, back = s["j"] + 1, s["p"] + x["x"], s["q"] + x["y"]
+        lower = back < s["low"]
+        at, low = F.when(lower, j - p.least).otherwise(s["at"]), F.least(back, s["low"])
+        more = (j >= p.least) & (now - low > s["sum"])
+        pick = lambda new, name: F.when(more, new).otherwise(s[name]).alias(name)
+        return F.struct(j.alias("j"), now.alias("p"), back.alias("q"), low.alias("low"), at.alias("at"), pick(now - low, "sum"), pick(at, "start"), pick(j, "end"))
+
+    pairs = lambda o: F.arrays_zip(o.alias("x"), F.slice(F.concat(none, o), F.lit(1), F.size(o)).alias("y"))
+    found = lambda o: F.aggregate(pairs(o), zero, step, lambda s: F.struct(s["sum"].alias("sum"), s["start"].alias("start"), s["end"].alias("end")))
+    return _bind(codes, lambda c: _bind(over(c), found))
+
+
+def random_parts(run: Column, base: Column, model: list[float], p: SecretParams, rank: int) -> Column:
+    """The random-looking spans of a run, outside the base spans."""
+    no_pieces, no_spans = F.array().cast(PIECES), F.array().cast(SPANS)
+    piece = lambda a, b: F.when(b - a >= p.least, F.array(F.struct(a.alias("start"), b.alias("end")))).otherwise(no_pieces)
+    taken = F.filter(base, lambda y: (run["start"] < y["end"]) & (y["start"] < run["end"]))
+    begun = F.struct(run["start"].alias("at"), no_pieces.alias("out"))
+    left = F.aggregate(
+        taken, begun, lambda s, y: F.struct(F.greatest(s["at"], y["end"]).alias("at"), F.concat(s["out"], piece(s["at"], y["start"])).alias("out")),
+        lambda s: F.concat(s["out"], piece(s["at"], run["end"])),
+    )
+
+    def one(a: Column, b: Column, text: Column) -> Column:
+        return F.when(_mixed(text), F.array(F.struct(a.alias("start"), b.alias("end"), F.lit(rank).alias("rank"), F.lit("markov").alias("kind"), text.alias("text")))).otherwise(no_spans)
+
+    def step(s: Column, _: Column) -> Column:
+        head, rest = F.element_at(s["todo"], 1), F.slice(s["todo"], F.lit(2), F.size(s["todo"]))
+        state = lambda todo, out: F.struct(todo.alias("todo"), F.concat(s["out"], out).alias("out"))
+
+        def parts(t: Column) -> Column:
+            def cut(g: Column) -> Column:
+                a, b = head["start"] + g["start"], head["start"] + g["end"]
+                more = F.concat(rest, piece(head["start"], a), piece(b, head["end"]))
+                return F.when(g["sum"] >= 0, state(more, one(a, b, t.substr(g["start"] + 1, g["end"] - g["start"])))).otherwise(state(rest, no_spans))
+
+            searched = F.when(_mixed(t), _bind(best_stretch(t, model, p), cut)).otherwise(state(rest, no_spans))
+            return F.when(ratio(t, model) >= p.bar, state(rest, one(head["start"], head["end"], t))).otherwise(searched)
+
+        return F.when(F.size(s["todo"]) > 0, _bind(run["text"].substr(head["start"] - run["start"] + 1, head["end"] - head["start"]), parts)).otherwise(s)
+
+    steps = F.sequence(F.lit(0), F.floor(F.length(run["text"]) * 3 / p.least).cast("int") + 1)
+    return F.aggregate(steps, F.struct(left.alias("todo"), no_spans.alias("out")), step, lambda s: s["out"])
 
 
 def spans(text: Column, pattern: str, group: int, least: int, kind: str, rank: int) -> Column:
@@ -133,9 +201,7 @@ def find(docs: DataFrame, model: list[float], p: SecretParams = SecretParams(),
     run = rf"(?<![{KEY}])[{KEY}]{{{p.least},}}"
     kinds = [spans(t, pattern, group, least, kind, i) for i, (kind, pattern, group, least) in enumerate(BASE)]
     made = rows.select(key, F.array_sort(F.concat(*kinds)).alias("base"), spans(t, run, 0, p.least, "markov", len(BASE)).alias("runs"))
-    free = lambda x: ~F.exists("base", lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"]))
-    mixed = lambda x: x["text"].rlike("[0-9]") & x["text"].rlike("[A-Za-z]")
-    added = F.filter("runs", lambda x: mixed(x) & free(x) & (ratio(x["text"], model) >= p.bar))
+    added = F.array_sort(F.flatten(F.transform(F.filter("runs", lambda x: _mixed(x["text"])), lambda x: random_parts(x, F.col("base"), model, p, len(BASE)))))
     return made.select(key, "base", F.when(F.size("runs") > 0, added).otherwise(F.col("runs")).alias("markov"))
 
 
