@@ -448,21 +448,28 @@ def _touches(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("client", "version", F.substring("fp", 1, 2).alias("feature")).distinct()
 
 
+def _current(rows: DataFrame) -> int:
+    return rows.agg(F.max("version")).first()[0] or 0
+
+
 @query
 def version_window_index(spark: SparkSession, sf: str) -> DataFrame:
-    return versions.live_features(_touches(spark, sf), 3, CFG.keep_versions)
+    touches = settle(_touches(spark, sf), "touches")
+    return versions.live_features(touches, _current(touches), CFG.keep_versions)
 
 
 @query
 def version_window_evicted(spark: SparkSession, sf: str) -> DataFrame:
-    return versions.evicted(_touches(spark, sf), 3, CFG.keep_versions)
+    touches = settle(_touches(spark, sf), "touches")
+    return versions.evicted(touches, _current(touches), CFG.keep_versions)
 
 
 @query
 def cache_refcount(spark: SparkSession, sf: str) -> DataFrame:
     """References to each cached base (the least chunk that has a feature) from the live features, and its size."""
     rows = _fixed(spark, sf, 1024).select("client", "fp", "size", F.substring("fp", 1, 2).alias("feature"))
-    live = versions.live_features(_touches(spark, sf), 3, CFG.keep_versions)
+    touches = settle(_touches(spark, sf), "touches")
+    live = versions.live_features(touches, _current(touches), CFG.keep_versions)
     index = rows.groupBy("client", "feature").agg(F.min("fp").alias("base_fp")).join(live, ["client", "feature"], "left_semi")
     sizes = rows.groupBy(F.col("fp").alias("base_fp")).agg(F.max("size").cast("long").alias("size"))
     return versions.reference_counts(index, sizes)
@@ -474,10 +481,6 @@ def _feature_rows(spark: SparkSession, sf: str) -> DataFrame:
     return settle(rows.join(_shingled(spark, sf).select("fp", F.explode(F.array_distinct("features")).alias("feature")), "fp"), "touches")
 
 
-def _current(rows: DataFrame) -> int:
-    return rows.agg(F.max("version")).first()[0] or 0
-
-
 @query
 def version_window_index_whole(spark: SparkSession, sf: str) -> DataFrame:
     """The index by whole super-features after the table's last version; version_window_index has two digits of a fingerprint."""
@@ -513,15 +516,21 @@ def window_similarity(spark: SparkSession, sf: str) -> DataFrame:
 # streams
 
 
+def _versions(objects: DataFrame) -> list[int]:
+    return [r[0] for r in objects.select("version").distinct().orderBy("version").collect()] or [0]
+
+
 @query
 def stream_unique_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    found = streams.stream_unique(_objects(spark, sf), [0, 1, 2, 3], ReductionConfig(chunker="fixed"))
+    objects = _objects(spark, sf)
+    found = streams.stream_unique(objects, _versions(objects), ReductionConfig(chunker="fixed"))
     return found.groupBy("client").agg(F.count("*").alias("unique_chunks"), F.sum("size").cast("long").alias("unique_bytes"))
 
 
 @query
 def stream_version_index(spark: SparkSession, sf: str) -> DataFrame:
-    return streams.stream_index(_objects(spark, sf), [0, 1, 2, 3], ReductionConfig(chunker="fixed"))
+    objects = _objects(spark, sf)
+    return streams.stream_index(objects, _versions(objects), ReductionConfig(chunker="fixed"))
 
 
 @query

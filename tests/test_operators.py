@@ -124,6 +124,16 @@ def test_window_queries_have_whole_features(spark, tmp_path):
     assert QUERIES["cache_refcount_whole"](spark, str(tmp_path)).count() > 256
 
 
+def test_queries_take_every_version_of_the_table(spark, tmp_path):
+    rows = [(0, "src0", "first text"), (1, "src7", "second text"), (2, "src27", "third text"), (3, "src27", "first text")]
+    spark.createDataFrame([(i, t, "en", s) for i, s, t in rows], "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    run = lambda name: QUERIES[name](spark, str(tmp_path)).collect()
+    assert run("stream_unique_chunks")[0]["unique_chunks"] == 3
+    assert {r["version"]: r["new_chunks"] for r in run("stream_version_index")} == {0: 1, 1: 1, 5: 1}
+    assert {r["version"] for r in run("version_window_index")} == {5} and {r["version"] for r in run("version_window_evicted")} == {1}
+    assert len(run("cache_refcount")) == 2
+
+
 def test_block_cipher_vector_and_counter_mode(spark):
     key = bytes(range(32))
     df = spark.createDataFrame([(bytearray(bytes.fromhex("00112233445566778899aabbccddeeff")),)], "data binary")
