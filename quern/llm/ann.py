@@ -9,9 +9,10 @@ most, and scores all they hold exactly. Queries that found fewer than k so read
 Equal vectors are one class, of which a search for k needs the k + 1 smallest ids only: copies never fill a
 list. A list of more than `part_rows` classes is split by a hash into parts that different tasks score.
 
-Cases: vectors that are null, empty, zero, hold null or non-finite components, have no id or not the most
-common dimension take no part, as queries neither; repeated rows (same id and vector) count once; with fewer
-candidates than k all are returned; no rows give no rows; extra columns are ignored.
+Cases: vectors that are null, empty, zero, hold null or non-finite components or have no id take no part, as
+queries neither; vectors of different dimensions have no inner product, so each dimension is searched by
+itself; repeated rows (same id and vector) count once; with fewer candidates than k all are returned; equal
+scores go by id; no rows give no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -188,12 +189,19 @@ def search(vectors: DataFrame, is_query: Column, k: int, p: AnnParams = AnnParam
     ship(spark)
     kind = "float" if dict(vectors.dtypes)[vector] == "array<float>" else "double"
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast(f"array<{kind}>").alias("vec"), is_query.alias("q")).where(F.col("id").isNotNull() & usable(F.col("vec")))
-    common = rows.groupBy(F.size("vec").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("dim")).limit(1).collect()
-    if not common:
-        return spark.createDataFrame([], f"query_id long, rank int, {key} long, score double")
-    dim = common[0]["dim"]
+    dims = sorted(r["dim"] for r in rows.select(F.size("vec").alias("dim")).distinct().collect())  # one, but for mixed tables
+    found = None
+    for dim in dims:
+        one = _search(rows.where(F.size("vec") == dim), dim, kind, k, p, key)
+        found = one if found is None else found.unionByName(one)
+    return spark.createDataFrame([], f"query_id long, rank int, {key} long, score double") if found is None else found
+
+
+def _search(rows: DataFrame, dim: int, kind: str, k: int, p: AnnParams, key: str) -> DataFrame:
+    """search() over usable rows (id, vec, q) of one dimension."""
+    spark = rows.sparkSession
     zero = F.lit(0.0).cast(kind)  # -0 becomes 0
-    rows = rows.where(F.size("vec") == dim).withColumn("vec", F.transform("vec", lambda x: x + zero))
+    rows = rows.withColumn("vec", F.transform("vec", lambda x: x + zero))
     first = Window.partitionBy("vec").orderBy("id")
     few = rows.select("id", "vec").withColumn("at", F.dense_rank().over(first)).where(F.col("at") <= k + 1)
     classes = few.groupBy("vec").agg(F.sort_array(F.collect_set("id")).alias("ids")).withColumn("cls", F.monotonically_increasing_id())
@@ -274,14 +282,17 @@ def _scorer(dim: int, k: int):
 
     def score(x: np.ndarray, ids: list[list[int]], least: np.ndarray, q: np.ndarray, cls: list[int]) -> list[tuple]:
         s = q @ x.T
-        take = min(len(x), k + 8)
+        take = min(len(x), k)
         out = []
-        near = np.argpartition(-s, take - 1, axis=1)[:, :take]
+        last = -np.partition(-s, take - 1, axis=1)[:, take - 1]
+        # all that may tie with the last one, however many: what rounding can move stays inside the margin
+        margin = 1e-14 * (dim + 8) * np.sqrt((q * q).sum(axis=1) * (x * x).sum(axis=1).max())
         for i, c in enumerate(cls):
+            near = np.flatnonzero(s[i] >= last[i] - margin[i])
             # one product at a time, so that a pair's score never depends on its neighbours
-            exact = (x[near[i]] * q[i]).sum(axis=1)
-            order = np.lexsort((least[near[i]], -exact))[:k]
-            got = [(int(v), float(exact[j])) for j in order for v in ids[near[i][j]]]
+            exact = (x[near] * q[i]).sum(axis=1)
+            order = np.lexsort((least[near], -exact))[:k]
+            got = [(int(v), float(exact[j])) for j in order for v in ids[near[j]]]
             out.append((c, *_ranked([v for v, _ in got], [y for _, y in got], k)))
         return out
 

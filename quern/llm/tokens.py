@@ -6,9 +6,11 @@ a row for each document. A file is: magic; blocks of `block_ids` ids, each its w
 with the blocks' offsets and sizes, the documents' ids and numbers of tokens; the footer's offset.
 
 Texts are cut at ASCII white space and each distinct piece goes through the tokenizer once in a while (a
-bounded table keeps ids by piece). That is exact for tokenizers that lower-case, normalise white space away
-and never merge across it or across letters and marks, which `split_safe` states; with it off, whole texts
-are encoded.
+bounded table keeps ids by piece). That is exact for tokenizers that put texts in form NFC, lower-case them,
+normalise white space away and never merge across it or across letters and marks, which `split_safe` states;
+with it off, whole texts are encoded. Texts that hold the content of an added token, in whatever case, are
+encoded whole; texts with combining marks are cut but not lower-cased before, as capitals and small letters
+compose with different marks; a mark behind a piece is cut off only where the piece is in its normal form.
 
 Cases: null and blank texts have the end id alone; repeated rows are documents of their own; no rows make no
 file and no rows; extra columns are ignored.
@@ -63,10 +65,17 @@ class _Places(dict):
         return n
 
 
+#: The first bytes of combining marks that compose with ASCII letters (U+0300 to U+036F).
+MARKS = (b"\xcc", b"\xcd")
 #: A word and the marks behind it: never one token, as no pre-token has both letters and marks.
 TAIL = re.compile(rb"(.*[a-z\x80-\xff])([.,!?;:*%$&#|]+)", re.DOTALL)
 
 
+def _normal(text: str) -> bool:
+    """Normalising would not change it."""
+    return text.islower() and text.isascii() or text == text.lower() and is_normalized("NFC", text)
+
+
 def _byte_level() -> dict[int, str]:
     """The characters that stand for bytes in byte-level vocabularies: printable ones for themselves, the rest from 256 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -86,6 +95,8 @@ class PieceTable:
         self.model, self.level = self.tok.model, _byte_level()
         probe = ["a", "the", "wordiness", "été", "über", "ñandú", "größe", "слово", "言葉", "x" * 40]
         self.direct = p.split_safe and all(self._word(w) == self.tok.encode(w, add_special_tokens=False).ids for w in probe)
+        #: Content of added tokens, which are found before anything is lower-cased.
+        self.added = [t.content.lower().encode() for t in self.tok.get_added_tokens_decoder().values()]
         self.clear()
 
     def _word(self, word: str) -> list[int]:
@@ -121,13 +132,13 @@ class PieceTable:
         while i < len(new):  # stems and tails join the queue
             piece = new[i]
             i += 1
-            if direct and piece.isalpha():
+            if direct and piece.isalpha() and piece.islower():
                 words.append((place[piece], [t.id for t in tokenize(piece.decode("ascii"))]))
                 continue
             text = piece.decode("utf-8", "replace")
-            if direct and text.isalpha() and (text == text.lower() and is_normalized("NFC", text)):
+            if direct and text.isalpha() and _normal(text):
                 words.append((place[piece], self._word(text)))
-            elif (m := TAIL.fullmatch(piece)) and m[1].decode("utf-8", "replace")[-1].isalpha():
+            elif (m := TAIL.fullmatch(piece)) and (stem := m[1].decode("utf-8", "replace"))[-1].isalpha() and _normal(stem):
                 joined.append((place[piece], place[m[1]], place[m[2]]))
             else:
                 other.append((place[piece], text))
@@ -156,7 +167,14 @@ class PieceTable:
             return np.fromiter((i for x in found for i in x), np.uint32), np.array([len(x) for x in found], np.int64)
         if len(self.place) > p.memo_pieces:
             self.clear()
-        parts = [t.translate(LOWER).split() for t in texts]
+        parts, whole = [], []
+        for i, t in enumerate(texts):
+            low = t.translate(LOWER)
+            if any(a in low for a in self.added):
+                whole.append(i)
+                parts.append([])
+            else:
+                parts.append((t if any(m in t for m in MARKS) else low).split())
         get = self.place.__getitem__
         at: list[int] = []
         for w in parts:
@@ -172,6 +190,11 @@ class PieceTable:
         keep = np.ones(len(out), bool)
         keep[np.cumsum(sizes) - 1] = False
         out[keep] = self._gather(place, lens)
+        if whole:
+            found = np.split(out, np.cumsum(sizes)[:-1])
+            for i, e in zip(whole, self.many([texts[i].decode("utf-8", "replace") for i in whole], add_special_tokens=False), strict=True):
+                found[i] = np.array([*e.ids, p.end_id], np.uint32)
+            out, sizes = np.concatenate(found), np.array([len(x) for x in found], np.int64)
         return out, sizes
 
 
