@@ -94,16 +94,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": corpus_pipeline.run,
 }
 
-_FILLS = "".join(
-    f""",
-rest{i} AS (SELECT * FROM rest{i - 1} WHERE id NOT IN (SELECT id FROM fill{i - 1})),
-fill{i} AS (
-  SELECT id, source, size, gap - size AS gap FROM (
-    SELECT r.id, r.source, r.size, g.gap, row_number() OVER (PARTITION BY r.source ORDER BY r.size DESC, r.q, r.id) AS rn
-    FROM rest{i} r JOIN fill{i - 1} g ON r.source IS NOT DISTINCT FROM g.source WHERE r.size <= g.gap) WHERE rn = 1)"""
-    for i in (2, 3, 4, 5)
-)
-
 ORACLES: dict[str, str] = {
     "op3_rotation": r"""
 WITH t AS (
@@ -146,10 +136,11 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN first IS NULL OR first
        CASE WHEN first IS NOT DISTINCT FROM page_id THEN NULL ELSE first END AS refers_to FROM p LEFT JOIN f USING (payload_digest)
 """,
     "op7_pareto": r"""
-WITH raw AS (
+WITH RECURSIVE raw AS (
   SELECT doc_id AS id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
 rnd AS (
-  SELECT *, (CAST(CAST('0x' || substr(md5('mix|' || coalesce(CAST(id AS VARCHAR), '') || '|' || CAST(size AS VARCHAR)), 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496.0 AS u FROM raw),
+  SELECT *, CAST(CASE WHEN size > 0 THEN length(bin(size)) * 16 + ((size * 16) >> (length(bin(size)) - 1)) - 16 ELSE 0 END AS INT) AS cls,
+         (CAST(CAST('0x' || substr(md5('mix|' || coalesce(CAST(id AS VARCHAR), '') || '|' || CAST(size AS VARCHAR)), 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496.0 AS u FROM raw),
 src AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM rnd GROUP BY source),
 spot AS (SELECT *, row_number() OVER (ORDER BY source IS NULL, source) AS spot FROM src),
 wt AS (SELECT *, CASE (spot - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w, source_size * 3.0::DOUBLE AS cap FROM spot),
@@ -159,21 +150,22 @@ lev AS (
 tgt AS (SELECT *, least(cap, coalesce(w * max(CASE WHEN cap / w > level THEN level END) OVER (), cap)) AS target FROM lev),
 sh AS (SELECT source, source_size, target, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM tgt),
 shares AS (SELECT *, target - whole * source_size AS rem FROM sh),
+cl AS (SELECT source, cls, count(*) AS n, CAST(sum(size) AS DOUBLE) AS m, sum(size * size) AS mw FROM rnd GROUP BY source, cls),
+walk AS (
+  SELECT source, cls, n, m, CAST(mw AS DOUBLE) AS mw, CAST(sum(mw) OVER (PARTITION BY source ORDER BY cls) AS DOUBLE) AS b, row_number() OVER (PARTITION BY source ORDER BY cls DESC) AS k,
+         (CAST(CAST('0x' || substr(md5('mix|' || CASE WHEN source IS NULL THEN '-' ELSE '+' || source END || '|' || CAST(cls AS VARCHAR)), 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496.0 AS u FROM cl),
+fold AS (
+  SELECT source, CAST(0 AS BIGINT) AS k, CAST(-1 AS INT) AS cls, 0.0::DOUBLE AS c, CAST(0 AS BIGINT) AS take, rem AS r FROM shares
+  UNION ALL
+  SELECT source, k, cls, c, take, CASE WHEN take > 0 THEN r - take * (mw / m) ELSE r END FROM (
+    SELECT *, CASE WHEN c > 0 THEN CAST(least(floor(least(CAST(n AS DOUBLE), c * m) + CASE WHEN b = mw THEN 0.5::DOUBLE ELSE u END), floor(r / (mw / m) + CASE WHEN b = mw THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END)) AS BIGINT) ELSE 0 END AS take FROM (
+      SELECT w.*, f.r, CASE WHEN w.b > 0 AND f.r > 0 THEN f.r / w.b ELSE 0.0::DOUBLE END AS c
+      FROM fold f JOIN walk w ON f.source IS NOT DISTINCT FROM w.source AND w.k = f.k + 1))),
 ranked AS (
-  SELECT r.*, s.source_size, s.target, s.whole, s.rem,
-         CASE WHEN s.rem > 0 THEN (r.u / (1 - r.u)) / ((s.rem / s.source_size) / (1 - s.rem / s.source_size) * 1.0::DOUBLE) END AS q
-  FROM rnd r JOIN shares s ON r.source IS NOT DISTINCT FROM s.source),
-run AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY q, id, size ROWS UNBOUNDED PRECEDING) AS upto FROM ranked WHERE q IS NOT NULL),
-chosen AS (SELECT id, source, size FROM run WHERE upto <= rem),
-gap0 AS (SELECT s.source, s.rem - coalesce((SELECT sum(size) FROM chosen c WHERE c.source IS NOT DISTINCT FROM s.source), 0) AS gap FROM shares s),
-rest1 AS (SELECT * FROM run WHERE upto > rem AND size > 0),
-fill1 AS (
-  SELECT id, source, size, gap - size AS gap FROM (
-    SELECT r.id, r.source, r.size, g.gap, row_number() OVER (PARTITION BY r.source ORDER BY r.size DESC, r.q, r.id) AS rn
-    FROM rest1 r JOIN gap0 g ON r.source IS NOT DISTINCT FROM g.source WHERE r.size <= g.gap) WHERE rn = 1)"""
-    + _FILLS
-    + r""",
-more AS (SELECT id FROM chosen UNION ALL SELECT id FROM fill1 UNION ALL SELECT id FROM fill2 UNION ALL SELECT id FROM fill3 UNION ALL SELECT id FROM fill4 UNION ALL SELECT id FROM fill5)
-SELECT id AS doc_id, size, source_size, target, CAST((whole + CASE WHEN id IN (SELECT id FROM more) THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM ranked
+  SELECT r.*, s.source_size, s.target, s.whole, f.take,
+         CASE WHEN f.take > 0 THEN CASE WHEN f.c * r.size >= 1 THEN r.u - 1 ELSE (r.u / (1 - r.u)) / ((f.c * r.size) / (1 - f.c * r.size)) END END AS q
+  FROM rnd r JOIN shares s ON r.source IS NOT DISTINCT FROM s.source JOIN fold f ON r.source IS NOT DISTINCT FROM f.source AND r.cls = f.cls),
+placed AS (SELECT *, row_number() OVER (PARTITION BY source, cls ORDER BY q, id, size) AS i FROM ranked)
+SELECT id AS doc_id, size, source_size, target, CAST((whole + CASE WHEN q IS NOT NULL AND i <= take THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM placed
 """,
 }

@@ -449,7 +449,7 @@ def test_targets_and_taken(spark):
         assert abs(r["target"] - want[r["source"]]) < 1e-6 and r["taken"] <= 3 * r["size"] and r["taken"] == r["copies"] * r["size"]
         taken[r["source"]] += r["taken"]
     for s, t in want.items():
-        assert t - taken[s] >= -1e-6 and (t - taken[s] <= max(3, 0.02 * t) or s == "z")
+        assert abs(t - taken[s]) <= max(3, 0.02 * t) or s == "z"
     again = mix.mix(df.repartition(7)).select("rk", "taken").groupBy("rk").agg(F.sum("taken").alias("n")).collect()
     first = defaultdict(int)
     for r in rows:
@@ -457,6 +457,38 @@ def test_targets_and_taken(spark):
     assert {r["rk"]: r["n"] for r in again} == dict(first)
 
 
+def test_inclusion_follows_its_probability(spark):
+    """Sources of the same sizes, of which 1150 words are left for the sample: how often each size is taken."""
+    sizes = [10] * 40 + [20] * 20 + [40] * 10 + [80] * 10 + [100] * 5
+    total, n = sum(sizes), 200
+    rows = [(i, "w " * sizes[i % 85], f"s{i // 85:04d}") for i in range(85 * n)]
+    one = 1150 / total
+    got = mix.mix(docs_of(spark, rows), mix.MixParams(weights=(one, 2 - one))).select("size", "target", "copies").toPandas()
+    got = got[got.target < total]
+    assert len(got) == len(rows) / 2 and (abs(got.target - 1150) < 1e-6).all()
+    drawn = got.groupby("size").copies.mean()
+    c = 1150 / sum(x * x for x in sizes)
+    for x in set(sizes):
+        assert abs(drawn[x] - min(1, c * x)) < 0.03
+    assert (abs(got.copies * got["size"]).sum() - 1150 * n / 2) < 0.005 * 1150 * n / 2
+
+
+def test_documents_of_probability_one_come_first(spark):
+    rows = [(i, "w " * (1000 if i < 2 else 3), "t") for i in range(1002)] + [(5000 + i, "x", "u") for i in range(4000)]
+    got = {r["doc_id"]: r["copies"] for r in mix.mix(docs_of(spark, rows), mix.MixParams(weights=(1, 1.0001))).collect()}
+    assert got[0] >= 1 and got[1] >= 1
+
+
+def test_size_classes_grow_with_the_size(spark):
+    rows = spark.createDataFrame([(i,) for i in [*range(3000), 2**40, 2**50 + 1]], "n long").select("n", mix.size_class(F.col("n"), 16).alias("c")).orderBy("n").collect()
+    c = [r["c"] for r in rows]
+    assert c[0] == 0 and c == sorted(c) and c[1] > 0
+    spread = defaultdict(list)
+    for n, k in enumerate(c[:3000]):
+        spread[k].append(n)
+    assert all(max(v) < min(v) * 1.0625 for k, v in spread.items() if k and min(v) >= 16)
+
+
 def test_mixed_rows_repeat_by_their_copies(spark):
     docs = [(i, "a b c", "s") for i in range(10)] + [(90, "big " * 500, "t"), (None, "x", "t"), (None, "x", "t")]
     df = docs_of(spark, docs)
