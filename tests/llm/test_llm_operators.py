@@ -534,6 +534,69 @@ def test_held_out_accuracy(spark):
     assert kept.columns == df.columns and kept.count() == sum(r["predicted"] for r in rows)
 
 
+def naive_features(text: bytes, p) -> list[int]:
+    out, last = [], None
+    for word in text.split():
+        w = b"< again>" if word == last else b"<" + word + b">"
+        last = word
+        out.append(zlib.crc32(w) % p.rows)
+        for n in (2, 3, 4):
+            out += [zlib.crc32(w[i : i + n], n) % p.rows for i in range(len(w)) if i + n <= len(w)]
+    return out
+
+
+@pytest.mark.parametrize("text", [b"", b"one", b"a a a b", "fünf fünf x".encode(), b"the cat the the cat sat " * 7])
+def test_scores_by_hand(text):
+    p = quality.QualityParams(rows=512)
+    rng = np.random.default_rng(3)
+    model = quality.QualityModel(p, rng.normal(size=512).astype(np.float32), 0.25)
+    rows = naive_features(text, p)
+    z = 0.25 + (sum(float(model.gain[r]) for r in rows) / len(rows) if rows else 0)
+    assert abs(model.score(text) - 1 / (1 + np.exp(-z))) < 1e-9
+    got, share = quality.bag(text, p, {})
+    assert {int(r): round(float(s) * len(rows)) for r, s in zip(got, share, strict=True)} == dict(Counter(rows))
+
+
+def test_one_gradient_step_by_hand():
+    p = quality.QualityParams(rows=64, dim=3)
+    rng = np.random.default_rng(4)
+    texts, y, weight, rate = [b"good words", b"bad bad", b"good bad x", b""], [1, 0, 1, 0], [1.5, 0.5, 1.5, 0.5], 0.3
+    emb, out, bias = rng.normal(size=(64, 3)), rng.normal(size=(2, 3)), rng.normal(size=2)
+    want = [[float(v) for v in r] for r in emb], [[float(v) for v in r] for r in out], [float(v) for v in bias]
+    e0, o0 = [list(r) for r in want[0]], [list(r) for r in want[1]]
+    b0 = list(want[2])
+    for text, label, w in zip(texts, y, weight, strict=True):
+        rows = naive_features(text, p)
+        hidden = [sum(e0[r][j] for r in rows) / len(rows) if rows else 0.0 for j in range(3)]
+        z = [sum(o0[c][j] * hidden[j] for j in range(3)) + b0[c] for c in (0, 1)]
+        soft = [np.exp(v) / sum(np.exp(x) for x in z) for v in z]
+        err = [w * (soft[c] - (c == label)) for c in (0, 1)]
+        back = [sum(err[c] * o0[c][j] for c in (0, 1)) for j in range(3)]
+        long = max(1.0, sum(v * v for v in back) ** 0.5)
+        for c in (0, 1):
+            want[2][c] -= rate * 0.1 * err[c]
+            for j in range(3):
+                want[1][c][j] -= rate * err[c] * hidden[j]
+        for r, n in Counter(rows).items():
+            for j in range(3):
+                want[0][r][j] -= rate * 3 * (n / len(rows)) ** 0.5 * back[j] / long
+    quality.step(emb, out, bias, [quality.bag(t, p, {}) for t in texts], np.array(y), np.array(weight), rate)
+    assert np.allclose(emb, want[0], atol=1e-6) and np.allclose(out, want[1], atol=1e-6) and np.allclose(bias, want[2], atol=1e-6)
+
+
+def test_both_labels_and_repeated_ids_and_long_texts(spark):
+    """An id with both labels teaches nothing; of repeated ids one text is learned; long texts are learned from."""
+    out = lambda i: zlib.crc32(str(i).encode()) % 3 == 1
+    ids = [i for i in range(100) if not out(i)][:40]
+    docs = [(i, ("good words " if n % 2 else "BAD!! ") * (20_000 if n < 2 else 3)) for n, i in enumerate(ids)] + [(ids[0], "BAD!! " * 3)] * 50
+    labels = [(i, n % 2) for n, i in enumerate(ids)]
+    p = quality.QualityParams(rows=1 << 12, epochs=20)
+    model = quality.fit(docs_of(spark, docs), spark.createDataFrame(labels, "doc_id long, quality int"), p)
+    assert model.score(b"good words") > 0.5 > model.score(b"BAD!!")
+    both = spark.createDataFrame(labels + [(i, 1 - y) for i, y in labels], "doc_id long, quality int")
+    assert {r["score"] for r in quality.score(docs_of(spark, docs[:3]), quality.fit(docs_of(spark, docs), both, p)).collect()} == {0.5}
+
+
 def test_what_is_held_out_is_not_learned(spark):
     docs = [(i, "good words" if i % 2 else "BAD!!") for i in range(60)]
     out = lambda i: zlib.crc32(str(i).encode()) % 3 == 1
