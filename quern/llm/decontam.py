@@ -3,14 +3,17 @@
 Test items and texts are lower-cased and every run of anything but letters and digits becomes one space. An
 item of m characters may be found with up to k = floor(rate * m) edits; it is cut into k + 1 pieces, of which
 one must occur unchanged in any such match (pigeonhole). An automaton finds all pieces in one pass over a
-text; around each hit Myers' bit-parallel algorithm searches the whole item within k edits.
+text; around each hit Myers' bit-parallel algorithm searches the whole item within k edits. An item of fewer
+than `short` characters is found unchanged and between word borders only (scripts without spaces between
+words have a border at every character).
 
 Items reach the executors in slices of at most `slice_chars` characters, one pass for each slice; a test set
 of any size works, and what is broadcast stays bounded.
 
-Cases: null and blank texts match nothing; items of fewer than `least_chars` normalised characters (also null
-ones) say too little and are left out; an id that repeats gives rows for each of its rows; repeated items
-are found each under its id; no items or no rows give no rows; extra columns are ignored.
+Cases: null and blank texts match nothing; null items and those without a letter or digit have nothing to be
+found; items with a null id are searched like any other (item_id is then null); an id that repeats gives
+rows for each of its rows; repeated items are found each under its id; no items or no rows give no rows;
+extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm.common import settle
 from quern.ship import ship
 
 GAP = re.compile(r"(?: *(?:[^\w ]|_)(?:\W|_)*| {2,})")
@@ -32,7 +36,7 @@ GAP = re.compile(r"(?: *(?:[^\w ]|_)(?:\W|_)*| {2,})")
 @dataclass(frozen=True)
 class DecontamParams:
     rate: float = 0.07  # edits an item character
-    least_chars: int = 24
+    short: int = 24  # items of fewer characters are matched exactly, as whole words
     slice_chars: int = 2_000_000
 
 
@@ -65,6 +69,17 @@ def pieces(item: str, k: int) -> list[tuple[int, str]]:
     return [(a, item[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
+def _spaceless(c: str) -> bool:
+    """Of a script that sets no space between words: Thai to Khmer, kana, ideographs and beyond."""
+    return "\u0e00" <= c <= "\u0eff" or "\u1000" <= c <= "\u109f" or "\u1780" <= c <= "\u17ff" or "\u2e80" <= c <= "\ua4cf" or "\uf900" <= c <= "\ufaff" or c >= "\U00020000"
+
+
+def borders(text: str, start: int, end: int) -> bool:
+    """text[start:end] begins and ends at word borders of a normalised text."""
+    free = lambda i: not 0 < i < len(text) or " " in text[i - 1 : i + 1] or _spaceless(text[i - 1]) or _spaceless(text[i])
+    return free(start) and free(end)
+
+
 class Pattern:
     """Myers' algorithm with the pattern in one big integer."""
 
@@ -126,13 +141,15 @@ class Pattern:
 
 
 class Matcher:
-    def __init__(self, items: list[tuple[int, str]], p: DecontamParams):
+    def __init__(self, items: list[tuple[int | None, str]], p: DecontamParams):
         import ahocorasick
 
-        self.patterns: dict[str, tuple[Pattern, list[int]]] = {}
+        self.short = p.short
+        self.patterns: dict[str, tuple[Pattern, list[int | None]]] = {}
         for item_id, text in items:
-            if len(item := normalise(text)) >= p.least_chars:
-                self.patterns.setdefault(item, (Pattern(item, int(p.rate * len(item))), []))[1].append(item_id)
+            if item := normalise(text):
+                edits = int(p.rate * len(item)) if len(item) >= p.short else 0
+                self.patterns.setdefault(item, (Pattern(item, edits), []))[1].append(item_id)
         where: dict[str, list[tuple[str, int]]] = {}
         for item, (pattern, _) in self.patterns.items():
             for at, piece in pieces(item, pattern.k):
@@ -143,15 +160,21 @@ class Matcher:
         if where:
             self.automaton.make_automaton()
 
-    def find(self, raw: str) -> list[tuple[int, int, int, int]]:
+    def find(self, raw: str) -> list[tuple[int | None, int, int, int]]:
         """(item id, start, end, distance) of matches in the raw text, by place, in code points."""
         if not self.patterns:
             return []
         text = normalise(raw)
         windows: dict[str, list[list[int]]] = {}
+        whole_words: dict[str, list[int]] = {}
         for end, (n, places) in self.automaton.iter(text):
             for item, at in places:
                 pattern = self.patterns[item][0]
+                if pattern.m < self.short:  # its one piece is the item itself
+                    mine = whole_words.setdefault(item, [])
+                    if borders(text, end + 1 - n, end + 1) and (not mine or mine[-1] <= end + 1 - n):
+                        mine.append(end + 1)
+                    continue
                 lo = max(0, end + 1 - n - at - pattern.k)
                 hi = end + 1 - n - at + pattern.m + pattern.k
                 mine = windows.setdefault(item, [])
@@ -159,7 +182,11 @@ class Matcher:
                     mine[-1][0], mine[-1][1] = min(lo, mine[-1][0]), max(hi, mine[-1][1])
                 else:
                     mine.append([lo, hi])
-        out, origin = [], None
+        out = []
+        origin = offsets(raw)[1] if any(whole_words.values()) else None
+        for item, ends in whole_words.items():
+            pattern, ids = self.patterns[item]
+            out += [(i, origin[e - pattern.m], origin[e - 1] + 1, 0) for e in ends for i in ids]
         for item, spans in windows.items():
             pattern, ids = self.patterns[item]
             spans.sort()
@@ -174,16 +201,17 @@ class Matcher:
                     if origin is None:
                         origin = offsets(raw)[1]
                     out += [(i, origin[lo + a], origin[lo + b - 1] + 1, d) for i in ids]
-        return sorted(out)
+        return sorted(out, key=lambda x: (x[0] is not None, x[0] or 0, *x[1:]))
 
 
 def _slices(items: DataFrame, p: DecontamParams, item_key: str, text: str) -> Iterator[list[tuple[int, str]]]:
     """The items, at most about slice_chars characters at a time."""
-    known = items.select(F.col(item_key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).where("text is not null and id is not null")
+    known = items.select(F.col(item_key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).where("text is not null")
     total = known.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     n = max(1, -(-total // p.slice_chars))
     for i in range(n):
-        yield [(r["id"], r["text"]) for r in known.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == i).collect()]
+        part = [(r["id"], r["text"]) for r in known.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == i).collect()]
+        yield sorted(part, key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, p: DecontamParams = DecontamParams(), key: str = "doc_id", text: str = "text", item_key: str = "item_id") -> DataFrame:
@@ -193,7 +221,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, p: DecontamParams = DecontamPa
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     found = None
     for part in _slices(items, p, item_key, "text"):
-        shared = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, sorted(part)))
+        shared = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, part))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             matcher = _matcher(shared, p)
@@ -220,12 +248,15 @@ def _matcher(shared, p: DecontamParams) -> Matcher:
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame, p: DecontamParams = DecontamParams(), text: str = "text", item_key: str = "item_id") -> DataFrame:
-    """docs without the rows in which an item is found, with docs' columns: no shuffle, a pass for each slice of items."""
+    """docs without the rows in which an item is found, with docs' columns: no shuffle, a pass for each slice of items.
+
+    Between passes what is left is written, so that a task never holds more than one slice's automaton."""
     ship(docs.sparkSession)
     at = docs.columns.index(text)
     kept = docs
-    for part in _slices(items, p, item_key, "text"):
-        shared = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, sorted(part)))
+    for i, part in enumerate(_slices(items, p, item_key, "text")):
+        kept = settle(kept, "clean") if i else kept
+        shared = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, part))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             matcher = _matcher(shared, p)

@@ -101,7 +101,7 @@ def test_leaks_with_edits_against_brute_force(spark):
     for d, text in docs:
         for i, item in items:
             pattern = decontam.normalise(item or "")
-            if len(pattern) >= p.least_chars:
+            if len(pattern) >= p.short:
                 best = min(levenshtein_ends(pattern, decontam.normalise(text)))
                 if best <= int(p.rate * len(pattern)):
                     want.add((d, i, best))
@@ -114,6 +114,19 @@ def test_leaks_with_edits_against_brute_force(spark):
     assert Counter(r["doc_id"] for r in kept.collect()) == Counter(d for d, _ in docs + ODD if d not in leaked) and len(kept.columns) == 11
 
 
+def test_short_items_and_null_ids(spark):
+    """Short items are found unchanged, at word borders; ideographs have borders everywhere."""
+    items = spark.createDataFrame([(1, "Four-two"), (2, "何歳ですか？"), (None, "no id but a long enough text to be found"), (4, "…!"), (5, "é")], "item_id long, text string")
+    docs = [(1, "it is FOUR  two, four two four two!"), (2, "fourtwo four twos xfour two"), (3, "彼は何歳ですか。"), (4, "so: No id, but a long enough text to be found."), (5, "été, É e"), (6, None)]
+    rows = decontam.find_leaks(docs_of(spark, docs), items).collect()
+    text = dict(docs)
+    got = sorted((r["doc_id"], r["item_id"] or 0, text[r["doc_id"]][r["start"] : r["end"]], r["distance"]) for r in rows)
+    assert got == [(1, 1, "FOUR  two", 0), (1, 1, "four two", 0), (1, 1, "four two", 0), (3, 2, "何歳ですか", 0), (4, 0, "No id, but a long enough text to be found", 0), (5, 5, "É", 0)]
+    for slices in (2_000_000, 10):
+        kept = decontam.drop_leaks(docs_of(spark, docs), items, decontam.DecontamParams(slice_chars=slices))
+        assert sorted(r["doc_id"] for r in kept.collect()) == [2, 6]
+
+
 def test_leak_slices_and_empty_tables(spark):
     items = spark.createDataFrame([(i, f"item number {i} " + "with many words " * 3) for i in range(9)], "item_id long, text string")
     docs = docs_of(spark, [(1, "so: Item number 4 with many words with many words with many words!")])
