@@ -96,10 +96,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op3_rotation": r"""
-WITH t AS (
-  SELECT conv_id, turn, regexp_replace(CASE WHEN trim(coalesce(role, ''), ' ') = '' THEN 'unknown' ELSE trim(role, ' ') END, '[\s<>|]', '_', 'g') AS speaker,
-         replace(coalesce(text, ''), '<|', '< |') AS said, CAST(floor(turn / 512.0) AS BIGINT) AS part
+WITH raw AS (
+  SELECT conv_id, turn, trim(coalesce(role, ''), ' ') AS role, replace(coalesce(text, ''), '<|', '< |') AS said, CAST(floor(turn / 512.0) AS BIGINT) AS part
   FROM conversations),
+known AS (SELECT DISTINCT conv_id, role, CASE WHEN role = '' THEN 'unknown' ELSE regexp_replace(role, '[\s<>|#]', '_', 'g') END AS clean FROM raw),
+named AS (SELECT *, row_number() OVER (PARTITION BY conv_id, clean ORDER BY role) AS nth FROM known),
+t AS (SELECT r.conv_id, r.turn, r.said, r.part, CASE WHEN nth = 1 THEN clean ELSE clean || '#' || nth END AS speaker
+      FROM raw r JOIN named n ON r.conv_id IS NOT DISTINCT FROM n.conv_id AND r.role = n.role),
 cut AS (SELECT *, row_number() OVER (PARTITION BY conv_id, part ORDER BY turn, speaker, said) AS pos FROM t),
 people AS (SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker <> 'system'),
 seg AS (

@@ -227,6 +227,17 @@ def test_rotation_by_hand(spark):
     assert got[None, None, "x_y"]["mask"] == "" and got[None, None, "unknown"]["n_turns"] == 1
 
 
+def test_roles_that_are_shown_alike_stay_apart(spark):
+    rows = [(1, 0, "Ann Lee", "a"), (1, 1, "Ann_Lee", "b"), (1, 2, " Ann Lee ", "c"), (1, 3, "unknown", "d"), (1, 4, None, "e"), (1, 5, "Ann_Lee#2", "f"), (2, 0, "Ann_Lee", "g")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {(r["conv_id"], r["perspective"]): r for r in chat.rotate(df).collect()}
+    assert set(got) == {(1, "Ann_Lee"), (1, "Ann_Lee#2"), (1, "unknown"), (1, "unknown#2"), (1, "Ann_Lee_2"), (2, "Ann_Lee")}
+    own = {k: [r["text"][int(a) : int(b)] for a, b in (m.split(":") for m in r["mask"].split(","))] for k, r in got.items()}
+    end = "<|im_end|>"
+    assert own == {(1, "Ann_Lee"): ["a" + end, "c" + end], (1, "Ann_Lee#2"): ["b" + end], (1, "unknown"): ["e" + end], (1, "unknown#2"): ["d" + end], (1, "Ann_Lee_2"): ["f" + end], (2, "Ann_Lee"): ["g" + end]}
+    assert "<|im_start|>user name=Ann_Lee#2\nb" in got[1, "Ann_Lee"]["text"]
+
+
 def test_long_conversations_come_in_pieces_that_make_the_whole(spark):
     rows = [(1, i % 3, f"s{i % 2}", f"t{i}") for i in range(50)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
