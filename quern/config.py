@@ -65,6 +65,7 @@ class ReductionConfig:
     chunk: ChunkParams = field(default_factory=ChunkParams)
     sketch: SketchParams = field(default_factory=SketchParams)
     container_bytes: int = 4 << 20
+    read_bytes: int = 128 << 20  # files are read in parts of so many bytes; no chunk spans two
     secret: bytes = b"\x01" * 32
     zstd_level: int = -1
     most_padding: int = 255

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.hashes import container_name
@@ -54,15 +54,24 @@ def addresses(stored: DataFrame, limit: int) -> DataFrame:
     return stored.join(named, "seq").withColumnRenamed("size", "length")
 
 
+def joined(parts: Column, field: str) -> Column:
+    """The binary fields of an array of structs, one behind the other, in linear time (concat copies what it has each time)."""
+    return F.unhex(F.array_join(F.transform(parts, lambda x: F.hex(x[field])), ""))
+
+
 def container_bodies(placed: DataFrame, payload: str = "payload") -> DataFrame:
     """(container_id, body, chunks): the payloads of a container one behind the other; a container is bounded."""
     parts = F.sort_array(F.collect_list(F.struct("offset", payload)))
     rows = placed.groupBy("container_id").agg(parts.alias("parts"))
-    body = F.aggregate("parts", F.lit(b""), lambda a, x: F.concat(a, x[payload]))
-    return rows.select("container_id", body.alias("body"), F.size("parts").alias("chunks"))
+    return rows.select("container_id", joined(F.col("parts"), payload).alias("body"), F.size("parts").alias("chunks"))
 
 
 def fetch(addr: DataFrame, containers: DataFrame, payload: str = "payload") -> DataFrame:
-    """addr with the bytes that its container holds at offset, for length."""
-    cut = F.substring(F.col("body"), (F.col("offset") + 1).cast("int"), F.col("length").cast("int"))
-    return addr.join(containers.select("container_id", "body"), "container_id").withColumn(payload, cut).drop("body")
+    """addr with the bytes that its container holds at offset, for length.
+
+    A container is joined once, to all its addresses, and cut inside the array that is exploded: a body beside
+    each address would be copied for every chunk. A container has a bounded number of addresses."""
+    places = addr.groupBy("container_id").agg(F.collect_list(F.struct(*addr.columns)).alias("places"))
+    cut = lambda p: F.substring(F.col("body"), (p["offset"] + 1).cast("int"), p["length"].cast("int"))
+    pieces = F.transform("places", lambda p: F.struct(*[p[c].alias(c) for c in addr.columns], cut(p).alias(payload)))
+    return places.join(containers.select("container_id", "body"), "container_id").select(F.inline(pieces))

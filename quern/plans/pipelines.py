@@ -20,7 +20,7 @@ from quern.operators.chunk import chunk
 from quern.operators.similarity import assign_bases
 from quern.operators.versions import window_similarity
 from quern.ship import ship
-from quern.tables import settle
+from quern.tables import hot_join, settle
 
 METHODS = ("plain", "mle", "elc", "similar", "similar_comp", "full")
 
@@ -69,7 +69,7 @@ def _encrypted(rows: DataFrame, method: str, cfg: ReductionConfig) -> DataFrame:
     featured = settle(rows.withColumn("plain_features", super_features(F.col("data"), cfg.sketch)), "features")
     once = featured.groupBy("plain_features").agg(F.min("seq").alias("seq"))
     seeds = keys.similarity_seeds(once, cfg, features="plain_features").join(once, "seq").select("plain_features", F.col("seed"))
-    got = featured.join(seeds, "plain_features").withColumn("key", keys.chunk_key(F.col("data"), F.col("seed"))).drop("plain_features", "seed")
+    got = hot_join(featured, seeds, ["plain_features"], F.col("seq")).withColumn("key", keys.chunk_key(F.col("data"), F.col("seed"))).drop("plain_features", "seed")
     if method == "similar":
         return got.withColumn("payload", crypto.two_phase(F.col("data"), F.col("key"), most)).withColumn("packed", F.lit(False))
     sealed = _sealed(got, cfg)
@@ -121,13 +121,13 @@ def upload(objects: DataFrame, method: str, cfg: ReductionConfig = ReductionConf
     return ReductionResult(method, recipe, key_rows, addr, settle(containers, "containers"))
 
 
-def restore(result: ReductionResult, cfg: ReductionConfig = ReductionConfig()) -> DataFrame:
-    """(client, version, file_id, content) of every object with chunks, byte for byte."""
+def restore_chunks(result: ReductionResult, cfg: ReductionConfig = ReductionConfig()) -> DataFrame:
+    """(client, version, file_id, chunk_no, data) of every chunk of every object: what objects of any size are made of."""
     ship(result.recipe.sparkSession)
     method, most = result.method, _most(cfg)
-    held = pack.fetch(result.addr, result.containers, "stored")
-    raw = codecs.decompress(F.col("stored"), F.col("squeezed")) if method in ("plain", "mle", "elc") else F.col("stored")
-    held = settle(held.select("fp", "kind", "base_fp", raw.alias("stored")), "held")
+    held = settle(pack.fetch(result.addr, result.containers, "stored").select("fp", "kind", "base_fp", "squeezed", "stored"), "fetched")
+    if method in ("plain", "mle", "elc"):
+        held = settle(held.withColumn("stored", codecs.decompress(F.col("stored"), F.col("squeezed"))), "held")
     keyed = result.recipe.join(result.keys, ["client", "version", "file_id", "chunk_no"])
     if method == "full":
         # a pair's uncompressed cipher is made again from its compressed one, under the key of any chunk that has it
@@ -137,13 +137,19 @@ def restore(result: ReductionResult, cfg: ReductionConfig = ReductionConfig()) -
         bases = settle(pairs.select(F.col("fp"), crypto.two_phase(plain, F.col("key"), most).alias("whole")), "bases")
     else:
         bases = held.where("kind = 'base'").select("fp", F.col("stored").alias("whole"))
-    deltas = held.where("kind = 'delta'").join(bases.select(F.col("fp").alias("base_fp"), "whole"), "base_fp")
-    whole = bases.unionByName(deltas.select("fp", codecs.delta_decode(F.col("whole"), F.col("stored")).alias("whole")))
-    rows = keyed.join(whole, "fp")
-    data = _decrypted(method, most)
-    made = rows.select("client", "version", "file_id", "chunk_no", data.alias("data"))
+    deltas = hot_join(held.where("kind = 'delta'").select("fp", "base_fp", "stored"), bases.select(F.col("fp").alias("base_fp"), "whole"), ["base_fp"], F.col("fp"))
+    whole = settle(bases.unionByName(deltas.select("fp", codecs.delta_decode(F.col("whole"), F.col("stored")).alias("whole"))), "whole")
+    rows = hot_join(keyed, whole, ["fp"], F.struct("client", "version", "file_id", "chunk_no"))
+    return rows.select("client", "version", "file_id", "chunk_no", _decrypted(method, most).alias("data"))
+
+
+def restore(result: ReductionResult, cfg: ReductionConfig = ReductionConfig()) -> DataFrame:
+    """(client, version, file_id, content) of every object with chunks, byte for byte.
+
+    An object is one value here, so 1 GB at most; write larger ones from restore_chunks()."""
     parts = F.sort_array(F.collect_list(F.struct("chunk_no", "data")))
-    return made.groupBy("client", "version", "file_id").agg(parts.alias("p")).select("client", "version", "file_id", F.aggregate("p", F.lit(b""), lambda a, x: F.concat(a, x["data"])).alias("content"))
+    made = restore_chunks(result, cfg).groupBy("client", "version", "file_id").agg(parts.alias("p"))
+    return made.select("client", "version", "file_id", pack.joined(F.col("p"), "data").alias("content"))
 
 
 def _decrypted(method: str, most: int) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,10 +14,12 @@ _OWN_DIR: dict[str, str] = {}
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder shared by driver and executors: spark.checkpoint.dir, or a private one where it is unset (tests)."""
+    """The folder shared by driver and executors: spark.checkpoint.dir, or in local mode a private one where it is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     app = spark.sparkContext.applicationId
     if not base:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         if app not in _OWN_DIR:
             _OWN_DIR[app] = tempfile.mkdtemp(prefix="quern-")
             spark.sparkContext.setCheckpointDir(_OWN_DIR[app])
@@ -40,6 +43,14 @@ def _remove(spark: SparkSession, root: str) -> None:
         pass
 
 
+def fresh(name: str, taken: Iterable[str]) -> str:
+    """A column name that none of those taken equals, whatever the case."""
+    known = {t.lower() for t in taken}
+    while name.lower() in known:
+        name += "_"
+    return name
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -63,6 +74,21 @@ def salted_join(big: DataFrame, small: DataFrame, on: list[str], by: Column, how
     return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 
+def hot_join(big: DataFrame, small: DataFrame, on: list[str], by: Column, hot_rows: int = 100_000) -> DataFrame:
+    """Inner join of big with a small side that has one row for each key and heavy columns.
+
+    Keys with more than `hot_rows` rows in big are counted first (map-side) and dealt over copies of their small
+    row, one for each hot_rows rows; all other keys are joined as they are, so that nothing else is copied."""
+    hot = big.groupBy(*on).agg(F.count("*").alias("_n")).where(F.col("_n") > hot_rows)
+    hot = settle(hot.select(*on, F.ceil(F.col("_n") / hot_rows).cast("int").alias("_salts")), "hot")
+    if hot.isEmpty():
+        return big.join(small, on)
+    # at most (rows of big) / hot_rows keys
+    left = big.join(hot, on, "left").withColumn("_salt", F.pmod(F.xxhash64(by), F.coalesce("_salts", F.lit(1))).cast("int")).drop("_salts")
+    right = small.join(hot, on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
+    return left.join(right, [*on, "_salt"]).drop("_salt")
+
+
 def components(edges: DataFrame, name: str = "cc", salts: int = 8) -> DataFrame | None:
     """Connected components of (a, b): (node, root), root the least node, of every node in an edge; None without edges.
 
