@@ -69,6 +69,7 @@ class ReductionConfig:
     secret: bytes = b"\x01" * 32
     zstd_level: int = -1
     most_padding: int = 255
+    salt: bytes = b"elc"  # of the random padding of method elc; one for each run makes runs differ
     keep_versions: int = 1
     greedy_rounds: int = 8
     group_rows: int = 100_000  # chunks of a component that one task walks

@@ -1,4 +1,4 @@
-"""Byte codecs: zstd with a raw fallback, deterministic padding, XOR."""
+"""Byte codecs: zstd, LZ4 and zlib with a raw fallback, padding, XOR."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ import hashlib
 import struct
 
 import numpy as np
+import pyarrow as pa
 import zstandard
 import zlib
 
@@ -20,6 +21,8 @@ def compress(data: bytes, level: int = -1, kind: str = "zstd") -> tuple[bytes, b
         out = _compressors[level].compress(data)
     elif kind == "zlib":
         out = zlib.compress(data, level)
+    elif kind == "lz4":  # a raw block behind its size, which such a block doesn't hold
+        out = struct.pack("<I", len(data)) + pa.compress(data, codec="lz4_raw", asbytes=True)
     else:
         raise ValueError(f"no codec {kind!r}")
     return (out, True) if len(out) < len(data) else (data, False)
@@ -28,6 +31,8 @@ def compress(data: bytes, level: int = -1, kind: str = "zstd") -> tuple[bytes, b
 def decompress(payload: bytes, compressed: bool, kind: str = "zstd") -> bytes:
     if not compressed:
         return payload
+    if kind == "lz4":
+        return pa.decompress(payload[4:], struct.unpack("<I", payload[:4])[0], codec="lz4_raw", asbytes=True)
     return zstandard.ZstdDecompressor().decompress(payload) if kind == "zstd" else zlib.decompress(payload)
 
 
@@ -37,12 +42,13 @@ def padding_blocks(original: int, packed: int, seed: int, most: int) -> int:
     return 0 if limit < 4 else max(1, seed % limit // 4)
 
 
-def pad(packed: bytes, original: int, seed: int, most: int = 255) -> bytes:
-    """packed, padding that follows from the seed alone, and packed's size in the last four bytes."""
+def pad(packed: bytes, original: int, seed: int, most: int = 255, salt: bytes = b"") -> bytes:
+    """packed, padding, and packed's size in the last four bytes. The padding follows from the seed alone, or from
+    seed and salt: a salt of its own for each run makes it random."""
     n = 4 * padding_blocks(original, len(packed), seed, most)
     fill, i = b"", 0
     while len(fill) < n:
-        fill += hashlib.sha256(struct.pack("<qI", seed, i)).digest()
+        fill += hashlib.sha256(salt + struct.pack("<qI", seed, i)).digest()
         i += 1
     return packed + fill[:n] + struct.pack("<I", len(packed))
 

@@ -30,17 +30,20 @@ def reference_counts(index: DataFrame, sizes: DataFrame) -> DataFrame:
     return per.join(sizes.select("base_fp", "size"), "base_fp").select("client", "base_fp", "refs", "size")
 
 
-def window_similarity(chunks: DataFrame, keep: int = 1, rounds: int = 8, group_rows: int = 100_000) -> DataFrame:
-    """(seq, base): what a client's window makes of its chunks, version by version.
+INDEX = "feature long, base long, last int"
+
+
+def window_similarity(chunks: DataFrame, keep: int = 1, rounds: int = 8, group_rows: int = 100_000, index: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(seq, base), and the index after the last version: what a client's window makes of its chunks, version by version.
 
     chunks: (seq, client, version, features), seq in order of version. A chunk is similar if the index of its
     client holds a feature of it; else its features are entered with it as their base. The base of a similar
     chunk follows from a vote among the owners that came before. Versions are a loop; a version's chunks are
-    handled at once."""
+    handled at once. `index` (INDEX) is what an earlier call gave, so that a later session goes on from there."""
     spark = chunks.sparkSession
     tagged = F.transform("features", lambda f: F.xxhash64("client", f))
     rows = settle(chunks.select("seq", "client", "version", tagged.alias("features")), "window")
-    index = spark.createDataFrame([], "feature long, base long, last int")
+    index = spark.createDataFrame([], INDEX) if index is None else index
     out = None
     for v in [r[0] for r in rows.select("version").distinct().orderBy("version").collect()]:
         now = rows.where(F.col("version") == v)
@@ -60,4 +63,4 @@ def window_similarity(chunks: DataFrame, keep: int = 1, rounds: int = 8, group_r
         aged = owners.join(index.select("feature", "last"), "feature", "left").join(touched, "feature", "left")
         aged = aged.select("feature", "base", F.when(F.col("_now"), F.lit(v)).otherwise(F.col("last")).cast("int").alias("last"))
         index = settle(aged.where(F.lit(v) - F.col("last") < keep), "index")
-    return out if out is not None else spark.createDataFrame([], "seq long, base long")
+    return out if out is not None else spark.createDataFrame([], "seq long, base long"), index

@@ -41,8 +41,6 @@ w AS (
   FROM w JOIN d ON d.rn = w.rn + 1)"""
 
 _LABEL = C256 + ", l AS (SELECT *, row_number() OVER (PARTITION BY fp ORDER BY version, file_id, chunk_no) = 1 AS first FROM c)"
-_TOUCH = C1024 + ", t AS (SELECT client, substr(fp, 1, 2) AS feature, max(version) AS version FROM c GROUP BY ALL)"
-
 _WHOLE = _SHINGLES + """,
 t AS (SELECT c.client, feat.f AS feature, max(c.version) AS version FROM c JOIN feat USING (fp) GROUP BY ALL),
 cur AS (SELECT max(version) AS now FROM c)"""
@@ -106,22 +104,26 @@ SELECT client, version, logical_chunks, logical_bytes, files, coalesce(unique_ch
     "restore_check": "SELECT CAST(0 AS BIGINT) AS wrong",
     "store_roundtrip": f"SELECT version, file_id, sha256 FROM ({_RESTORED}) WHERE version = 1",
     "stats_log": _stats(C256, "version"),
+    "stats_log_totals": f"""WITH {C256}, v AS (SELECT version, count(*) AS n, sum(size) AS b FROM c GROUP BY version)
+SELECT version, CAST(sum(n) OVER w AS BIGINT) AS logical_chunks, CAST(sum(b) OVER w AS BIGINT) AS logical_bytes FROM v WINDOW w AS (ORDER BY version ROWS UNBOUNDED PRECEDING)""",
     "rows_as_backups": _stats(
-        """o AS (SELECT CAST(year(o_orderdate) * 12 + month(o_orderdate) AS INT) AS version, hex(encode(string_agg(o_orderkey || '|' || o_custkey || '|' || coalesce(o_orderstatus, ''), chr(10) ORDER BY o_orderkey))) AS h FROM orders GROUP BY 1),
+        """l AS (SELECT CAST(year(o_orderdate) * 12 + month(o_orderdate) AS INT) AS version, o_orderkey // 4096 AS block, o_orderkey AS k,
+         coalesce(CAST(o_orderkey AS VARCHAR), '') || '|' || coalesce(CAST(o_custkey AS VARCHAR), '') || '|' || coalesce(o_orderstatus, '') || '|' || coalesce(CAST(CAST(round(o_totalprice * 100) AS BIGINT) AS VARCHAR), '')
+         || '|' || strftime(o_orderdate, '%Y-%m-%d') || '|' || coalesce(o_orderpriority, '') AS line FROM orders),
+o AS (SELECT version, hex(encode(string_agg(line, chr(10) ORDER BY k, line))) AS h FROM l GROUP BY version, block),
 x AS (SELECT version, substr(h, CAST(i * 1024 + 1 AS BIGINT), 1024) AS hx FROM (SELECT *, unnest(generate_series(0, CAST((length(h) // 2 - 1) // 512 AS BIGINT))) AS i FROM o)),
 c AS (SELECT version, CAST(length(hx) // 2 AS BIGINT) AS size, sha256(unhex(hx)) AS fp FROM x)""",
         "version",
     ),
-    "version_window_index": f"WITH {_TOUCH} SELECT client, feature, version FROM t WHERE 3 - version < 1",
-    "version_window_evicted": f"WITH {_TOUCH} SELECT client, feature, version FROM t WHERE 3 - version >= 1",
-    "cache_refcount": f"""WITH {_TOUCH}, own AS (SELECT client, substr(fp, 1, 2) AS feature, min(fp) AS base_fp FROM c GROUP BY ALL),
-live AS (SELECT own.client, own.base_fp, count(*) AS refs FROM own JOIN t USING (client, feature) WHERE 3 - t.version < 1 GROUP BY ALL), sz AS (SELECT fp AS base_fp, max(size) AS size FROM c GROUP BY fp)
-SELECT client, base_fp, refs, size FROM live JOIN sz USING (base_fp)""",
-    "version_window_index_whole": f"WITH {_WHOLE} SELECT client, feature, version FROM t, cur WHERE now - version < 1",
-    "version_window_evicted_whole": f"WITH {_WHOLE} SELECT client, feature, version FROM t, cur WHERE now - version >= 1",
-    "cache_refcount_whole": f"""WITH {_WHOLE}, own AS (SELECT c.client, feat.f AS feature, min(c.fp) AS base_fp FROM c JOIN feat USING (fp) GROUP BY ALL),
+    "version_window_index": f"WITH {_WHOLE} SELECT client, feature, version FROM t, cur WHERE now - version < 1",
+    "version_window_evicted": f"WITH {_WHOLE} SELECT client, feature, version FROM t, cur WHERE now - version >= 1",
+    "cache_refcount": f"""WITH {_WHOLE}, own AS (SELECT c.client, feat.f AS feature, min(c.fp) AS base_fp FROM c JOIN feat USING (fp) GROUP BY ALL),
 live AS (SELECT own.client, own.base_fp, count(*) AS refs FROM own JOIN t USING (client, feature), cur WHERE now - t.version < 1 GROUP BY ALL), sz AS (SELECT fp AS base_fp, max(size) AS size FROM c GROUP BY fp)
 SELECT client, base_fp, refs, size FROM live JOIN sz USING (base_fp)""",
+    "client_cache_sizes": f"""WITH {_WHOLE}, own AS (SELECT c.client, feat.f AS feature, min(c.fp) AS base_fp FROM c JOIN feat USING (fp) GROUP BY ALL),
+live AS (SELECT client, feature, base_fp FROM own JOIN t USING (client, feature), cur WHERE now - t.version < 1), sz AS (SELECT fp AS base_fp, max(size) AS size FROM c GROUP BY fp),
+held AS (SELECT DISTINCT client, base_fp FROM live)
+SELECT client, (SELECT 12 * count(*) FROM live l WHERE l.client = held.client) AS version_index_bytes, count(*) AS cached_chunks, CAST(sum(size) AS BIGINT) AS cached_bytes FROM held JOIN sz USING (base_fp) GROUP BY client""",
     "stream_unique_chunks": f"WITH {C256}, d AS (SELECT DISTINCT client, fp, size FROM c) SELECT client, count(*) AS unique_chunks, {_SUM} AS unique_bytes FROM d GROUP BY client",
     "stream_version_index": f"WITH {C256}, d AS (SELECT fp, min(version) AS version, max(size) AS size FROM c GROUP BY fp) SELECT version, count(*) AS new_chunks, {_SUM} AS new_bytes FROM d GROUP BY version",
     "stream_event_windows": "SELECT date_trunc('day', ts) AS window_start, count(*) AS n_events, CAST(sum(octet_length(encode(props))) AS BIGINT) AS prop_bytes FROM events GROUP BY 1",

@@ -27,9 +27,11 @@ METHODS = ("plain", "mle", "elc", "similar", "similar_comp", "full")
 
 @dataclass(frozen=True)
 class ReductionResult:
-    """recipe: (client, version, file_id, chunk_no, size, fp); keys: (client, version, file_id, chunk_no, key, packed);
-    addr: (fp, seq, client, version, kind, base_fp, container_id, offset, length, packed, sent);
-    containers: (container_id, body, chunks). kind is base, delta, or pair (a base stored compressed)."""
+    """recipe: (client, version, file_id, chunk_no, size, fp, seq, received, sent): received is what the server counts
+    of a chunk, sent what crosses the network, the copy for the cache included; keys: (client, version, file_id,
+    chunk_no, key, packed); addr: (fp, seq, client, version, kind, base_fp, container_id, offset, length, squeezed, raw);
+    containers: (container_id, body, chunks). kind is base, delta (against a base of the client's window in `full`),
+    pair (a base stored compressed) or twin_delta (a pair whose compressed form is a delta against another's)."""
 
     method: str
     recipe: DataFrame
@@ -39,7 +41,8 @@ class ReductionResult:
 
 
 def _sequenced(objects: DataFrame, cfg: ReductionConfig) -> DataFrame:
-    chunks = chunk(objects.select("client", "version", "file_id", "content"), cfg)
+    parts = ["part"] if "part" in objects.columns else []
+    chunks = chunk(objects.select("client", "version", "file_id", *parts, "content"), cfg)
     rows = chunks.withColumn("fp", F.sha2("data", 256)).orderBy("version", "file_id", "chunk_no")
     return settle(rows.withColumn("seq", F.monotonically_increasing_id()), "chunks")
 
@@ -49,10 +52,11 @@ def _most(cfg: ReductionConfig) -> int:
     return max(cfg.chunk.most, cfg.chunk.normal) + cfg.most_padding + 20
 
 
-def _sealed(rows: DataFrame, cfg: ReductionConfig) -> DataFrame:
-    """Compressed and padded data: column sealed."""
+def _sealed(rows: DataFrame, cfg: ReductionConfig, salt: bytes | None = None) -> DataFrame:
+    """Compressed and padded data: column sealed. With a salt the padding is random and goes up to the largest chunk."""
     packed = rows.withColumn("_p", codecs.compress(F.col("data"), cfg.zstd_level))
-    return packed.withColumn("sealed", codecs.pad(F.col("_p.payload"), F.col("size"), byte_sum(F.col("fp")), cfg.most_padding)).withColumn("packed", F.col("_p.packed")).drop("_p")
+    upto = F.col("size") if salt is None else F.lit(cfg.chunk.most)
+    return packed.withColumn("sealed", codecs.pad(F.col("_p.payload"), upto, byte_sum(F.col("fp")), cfg.most_padding, salt or b"")).withColumn("packed", F.col("_p.packed")).drop("_p")
 
 
 def _encrypted(rows: DataFrame, method: str, cfg: ReductionConfig) -> DataFrame:
@@ -64,7 +68,7 @@ def _encrypted(rows: DataFrame, method: str, cfg: ReductionConfig) -> DataFrame:
         got = rows.withColumn("key", keys.message_locked(F.col("fp"), cfg.secret))
         return got.withColumn("payload", crypto.counter_mode(F.col("data"), F.col("key"), most)).withColumn("packed", F.lit(False))
     if method == "elc":
-        got = _sealed(rows.withColumn("key", keys.perturbed(keys.message_locked(F.col("fp"), cfg.secret), byte_sum(F.col("fp")))), cfg)
+        got = _sealed(rows.withColumn("key", keys.perturbed(keys.message_locked(F.col("fp"), cfg.secret), byte_sum(F.col("fp")))), cfg, cfg.salt)
         return got.withColumn("payload", crypto.counter_mode(F.col("sealed"), F.col("key"), most)).drop("sealed")
     featured = settle(rows.withColumn("plain_features", super_features(F.col("data"), cfg.sketch)), "features")
     once = featured.groupBy("plain_features").agg(F.min("seq").alias("seq"))
@@ -87,35 +91,49 @@ def upload(objects: DataFrame, method: str, cfg: ReductionConfig = ReductionConf
     sent = _encrypted(_sequenced(objects, cfg), method, cfg)
     server = dual_fingerprint(F.col("payload"), F.col("twin")) if method == "full" else F.sha2("payload", 256)
     sent = settle(sent.withColumn("sfp", server).drop("data"), "sent")
-    recipe = sent.select("client", "version", "file_id", "chunk_no", "size", F.col("sfp").alias("fp"), "seq")
     key_rows = sent.select("client", "version", "file_id", "chunk_no", "key", "packed")
     unique = settle(sent.join(sent.groupBy("sfp").agg(F.min("seq").alias("seq")).select("seq"), "seq"), "unique")
+    named = sent.select(F.col("seq").alias("base"), F.col("sfp").alias("base_fp"))
+    sizes = [F.octet_length(c).cast("long").alias(n) for c, n in (("payload", "whole"), ("twin", "squeezed")) if c in sent.columns]
+    seen = sent.select("client", "version", "file_id", "chunk_no", "size", F.col("sfp").alias("fp"), "seq", *sizes)
     if method == "full":
         # the client's window decides before anything is known to be a duplicate: every chunk counts
         featured = settle(sent.select("seq", "client", "version", super_features(F.col("payload"), cfg.sketch).alias("features")), "cipher")
-        found = window_similarity(featured, cfg.keep_versions, cfg.greedy_rounds, cfg.group_rows)
+        found, _ = window_similarity(featured, cfg.keep_versions, cfg.greedy_rounds, cfg.group_rows)
+        lone = F.col("base").isNull()
+        twice = {"received": F.when(lone, F.col("squeezed")).otherwise(F.col("whole")), "sent": F.when(lone, F.col("whole") + F.col("squeezed")).otherwise(F.col("whole"))}
+        traffic = seen.join(found, "seq").withColumns(twice)
         # a chunk's base may be a later copy of its own bytes' first place: the fingerprint names it
-        base_of = found.where("base is not null").join(sent.select(F.col("seq").alias("base"), F.col("sfp").alias("base_fp")), "base").select("seq", "base_fp")
+        base_of = found.where("base is not null").join(named, "base").select("seq", "base_fp")
+        linked = settle(unique.select("seq", "sfp").join(base_of, "seq", "left").withColumn("base_fp", F.when(F.col("base_fp") != F.col("sfp"), F.col("base_fp"))), "linked")
+        # a base is never itself a delta of the window's: it is stored as a pair
+        deep = linked.where("base_fp is not null").select(F.col("base_fp").alias("sfp")).distinct()
+        linked = settle(linked.join(deep.withColumn("_deep", F.lit(True)), "sfp", "left").select("seq", F.when(F.col("_deep").isNull(), F.col("base_fp")).alias("base_fp")), "linked")
+        # what the window leaves is searched among all clients and versions
+        rest = featured.join(linked.where("base_fp is null").select("seq"), "seq", "left_semi").select("seq", "features")
+        wide = assign_bases(settle(rest, "rest"), cfg.greedy_rounds, cfg.group_rows).where("base is not null").join(named, "base").select("seq", F.col("base_fp").alias("wide_fp"))
+        kinds = linked.join(wide, "seq", "left").select("seq", F.when(F.col("base_fp").isNotNull(), "delta").when(F.col("wide_fp").isNotNull(), "twin_delta").otherwise("pair").alias("kind"), F.coalesce("base_fp", "wide_fp").alias("base_fp"))
     else:
+        traffic = seen.withColumns({"received": F.col("whole"), "sent": F.col("whole")})
         featured = unique.select("seq", super_features(F.col("payload"), cfg.sketch).alias("features"))
         found = assign_bases(settle(featured, "cipher"), cfg.greedy_rounds, cfg.group_rows)
-        base_of = found.where("base is not null").join(unique.select(F.col("seq").alias("base"), F.col("sfp").alias("base_fp")), "base").select("seq", "base_fp")
-    linked = settle(unique.select("seq", "sfp").join(base_of, "seq", "left").withColumn("base_fp", F.when(F.col("base_fp") != F.col("sfp"), F.col("base_fp"))), "linked")
-    # a base is never itself a delta: what would need a third level is stored as a base
-    deltas = linked.where("base_fp is not null").select(F.col("sfp").alias("base_fp")).distinct().withColumn("_deep", F.lit(True))
-    linked = linked.join(deltas, "base_fp", "left").withColumn("base_fp", F.when(F.col("_deep").isNull(), F.col("base_fp"))).select("seq", "base_fp")
-    rows = unique.join(linked, "seq")
-    base = unique.select(F.col("sfp").alias("base_fp"), F.col("payload").alias("base_payload"))
-    both = rows.join(base, "base_fp", "left")
-    coded = codecs.delta_encode(F.col("base_payload"), F.col("payload"))
-    kind = F.when(F.col("base_payload").isNotNull(), "delta").otherwise("pair" if method == "full" else "base")
-    kept = both.withColumn("kind", kind).withColumn("_delta", F.when(F.col("kind") == "delta", coded)).withColumn("stored", F.coalesce("_delta", F.col("twin") if method == "full" else F.col("payload")))
+        kinds = found.join(named, "base", "left").select("seq", F.when(F.col("base_fp").isNotNull(), "delta").otherwise("base").alias("kind"), "base_fp")
+    recipe = settle(traffic.select("client", "version", "file_id", "chunk_no", "size", "fp", "seq", "received", "sent"), "recipe")
+    rows = unique.join(settle(kinds, "kinds"), "seq")
+    # a chunk's own bytes, and its base's, in the form that is coded: compressed but for the window's deltas
+    form = lambda kind: F.when(kind == "delta", F.col("payload")).otherwise(F.col("twin")) if method == "full" else F.col("payload")
+    rows = rows.withColumn("own", form(F.col("kind"))).select("client", "version", "seq", "sfp", "kind", "base_fp", "own")
+    coded_rows = rows.where("base_fp is not null")
+    bases = unique.select(F.col("sfp").alias("base_fp"), *(["payload", "twin"] if method == "full" else ["payload"]))
+    deltas = hot_join(settle(coded_rows, "similar"), bases, ["base_fp"], F.col("seq")).withColumn("stored", codecs.delta_encode(form(F.col("kind")), F.col("own")))
+    columns = ["client", "version", "seq", "sfp", "kind", "base_fp", "own", "stored"]
+    kept = deltas.select(*columns).unionByName(rows.where("base_fp is null").withColumn("stored", F.col("own")).select(*columns))
+    kept = settle(kept.select("client", "version", "seq", F.col("sfp").alias("fp"), "kind", "base_fp", "stored", F.octet_length("own").alias("raw")), "coded")
     if method in ("plain", "mle", "elc"):  # the server compresses what it stores
-        kept = kept.withColumn("_s", codecs.compress(F.col("stored"), cfg.zstd_level)).withColumn("stored", F.col("_s.payload")).withColumn("squeezed", F.col("_s.packed"))
+        kept = kept.withColumn("_s", codecs.compress(F.col("stored"), cfg.zstd_level)).withColumn("stored", F.col("_s.payload")).withColumn("squeezed", F.col("_s.packed")).drop("_s")
     else:
         kept = kept.withColumn("squeezed", F.lit(False))
-    sent_bytes = F.octet_length("payload") if method != "full" else F.when(F.col("kind") == "pair", F.octet_length("payload") + F.octet_length("twin")).otherwise(F.octet_length("payload"))
-    kept = settle(kept.select("client", "version", "seq", F.col("sfp").alias("fp"), "kind", F.when(F.col("kind") == "delta", F.col("base_fp")).alias("base_fp"), "stored", "squeezed", sent_bytes.cast("long").alias("sent"), F.octet_length("stored").alias("size"), F.octet_length("payload").alias("raw")), "kept")
+    kept = settle(kept.withColumn("size", F.octet_length("stored")), "kept")
     addr = settle(pack.addresses(kept.drop("stored"), cfg.container_bytes), "addr")
     containers = pack.container_bodies(addr.select("seq", "container_id", "offset").join(kept.select("seq", "stored"), "seq"), "stored")
     return ReductionResult(method, recipe, key_rows, addr, settle(containers, "containers"))
@@ -132,7 +150,10 @@ def restore_chunks(result: ReductionResult, cfg: ReductionConfig = ReductionConf
     if method == "full":
         # a pair's uncompressed cipher is made again from its compressed one, under the key of any chunk that has it
         by = keyed.groupBy("fp").agg(F.any_value("key").alias("key"), F.any_value("packed").alias("packed"))
-        pairs = held.where("kind = 'pair'").join(by, "fp")
+        pairs = held.where("kind = 'pair'").select("fp", "stored")
+        wide = hot_join(held.where("kind = 'twin_delta'").select("fp", "base_fp", "stored"), pairs.select(F.col("fp").alias("base_fp"), F.col("stored").alias("whole")), ["base_fp"], F.col("fp"))
+        twins = pairs.unionByName(wide.select("fp", codecs.delta_decode(F.col("whole"), F.col("stored")).alias("stored")))
+        pairs = settle(twins, "twins").join(by, "fp")
         plain = codecs.decompress(codecs.unpad(crypto.two_phase_inverse(F.col("stored"), F.col("key"), most)), F.col("packed"))
         bases = settle(pairs.select(F.col("fp"), crypto.two_phase(plain, F.col("key"), most).alias("whole")), "bases")
     else:
@@ -166,13 +187,22 @@ def _decrypted(method: str, most: int) -> Column:
 
 
 def stats(result: ReductionResult, by: tuple[str, ...] = ()) -> DataFrame:
-    """One row (or one for each group of client, version): what came, what is unique, similar and stored."""
-    logical = result.recipe.groupBy(*by).agg(F.count("*").alias("logical_chunks"), F.sum("size").cast("long").alias("logical_bytes"), F.countDistinct("file_id").alias("files"))
-    delta = F.col("kind") == "delta"
+    """One row (or one for each group of client, version): what came, what is unique, similar and stored.
+
+    local_* are deltas against a base of the client's window (`full` alone), global_* those against any base."""
+    logical = result.recipe.groupBy(*by).agg(
+        F.count("*").alias("logical_chunks"), F.sum("size").cast("long").alias("logical_bytes"), F.countDistinct("file_id").alias("files"),
+        F.sum("received").cast("long").alias("received_bytes"), F.sum("sent").cast("long").alias("sent_bytes"),
+    )
+    local = F.col("kind") == "delta" if result.method == "full" else F.lit(False)
+    wide = F.col("kind") == ("twin_delta" if result.method == "full" else "delta")
+    of = lambda name, kind: [
+        F.count_if(kind).alias(f"{name}_chunks"), F.sum(F.when(kind, F.col("raw")).otherwise(0)).cast("long").alias(f"{name}_bytes"),
+        F.sum(F.when(kind, F.col("length")).otherwise(0)).cast("long").alias(f"{name}_delta_bytes"),
+    ]
     stored = result.addr.groupBy(*by).agg(
-        F.count("*").alias("unique_chunks"), F.sum("raw").cast("long").alias("unique_bytes"), F.count_if(delta).alias("similar_chunks"),
-        F.coalesce(F.sum(F.when(delta, F.col("raw"))), F.lit(0)).cast("long").alias("similar_bytes"), F.coalesce(F.sum(F.when(delta, F.col("length"))), F.lit(0)).cast("long").alias("delta_bytes"),
-        F.sum("length").cast("long").alias("stored_bytes"), F.countDistinct("container_id").alias("containers"), F.sum("sent").cast("long").alias("sent_bytes"),
+        F.count("*").alias("unique_chunks"), F.sum("raw").cast("long").alias("unique_bytes"), *of("local", local), *of("global", wide),
+        F.sum("length").cast("long").alias("stored_bytes"), F.countDistinct("container_id").alias("containers"),
     )
     both = logical.unionByName(stored, allowMissingColumns=True)
     return both.groupBy(*by).agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in both.columns if c not in by])

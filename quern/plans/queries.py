@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.config import ReductionConfig
+from quern.config import BACKUP, ReductionConfig
 from quern.functions import hashes
 from quern.operators import chunk as chunks
 from quern.operators import codecs, crypto, dedup, keys, pack, similarity, versions
@@ -428,53 +428,47 @@ def stats_log(spark: SparkSession, sf: str) -> DataFrame:
     return store.read_log(spark, path, "version int, logical_chunks long, logical_bytes long, unique_chunks long, unique_bytes long")
 
 
+@query
+def stats_log_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """Two runs write their versions' statistics to one log; running totals go on from the first to the second."""
+    path, rows = new_path(spark, "log"), _fixed(spark, sf)
+    for run in ("version < 2", "version >= 2"):
+        store.write_log(dedup.stats(rows.where(run), ("version",)), path)
+    log = store.read_log(spark, path, "version int, logical_chunks long, logical_bytes long, unique_chunks long, unique_bytes long")
+    return store.totals(log, "version", ["logical_chunks", "logical_bytes"])
+
+
 @query
 def rows_as_backups(spark: SparkSession, sf: str) -> DataFrame:
-    """The order table's months as backup versions: sizes of their serialised rows in fixed chunks."""
+    """The order table's months as backup versions: whole rows as lines, in objects of 4096 keys, in fixed chunks."""
     orders = spark.read.parquet(f"{sf}/orders.parquet")
     month = F.year("o_orderdate") * 12 + F.month("o_orderdate")
-    some = orders.select("o_orderkey", "o_custkey", F.coalesce("o_orderstatus", F.lit("")).alias("s"), month.alias("m"))
-    line = F.concat_ws("|", "o_orderkey", "o_custkey", "s")
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", line.alias("line")))), lambda x: x["line"]), "\n")
-    objects = some.groupBy("m").agg(F.encode(body, "UTF-8").alias("content")).select(F.col("m").cast("string").alias("file_id"), F.lit("0").alias("client"), F.col("m").alias("version"), "content")
+    cents = F.round(F.col("o_totalprice") * 100).cast("long").cast("string")
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    line = F.concat_ws("|", text("o_orderkey"), text("o_custkey"), text("o_orderstatus"), F.coalesce(cents, F.lit("")), F.date_format("o_orderdate", "yyyy-MM-dd"), text("o_orderpriority"))
+    objects = sources.rows_as_backups(orders, month, F.col("o_orderkey"), line)
     return dedup.stats(chunks.fixed(objects, 512).withColumn("fp", F.sha2("data", 256)), ("version",))
 
 
-# version windows
+@query
+def files_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """The table's own Parquet files as backup files in parts of 64 KiB: what comes, what is unique, what the written files hold."""
+    cfg = ReductionConfig(chunk=BACKUP, read_bytes=1 << 16)
+    objects = sources.files(spark, sf, pattern="{region,nation,labels,benchmark}*", read_bytes=cfg.read_bytes)
+    result = pipelines.upload(objects.drop("path"), "mle", cfg)
+    path = new_path(spark, "files")
+    store.write_objects(pipelines.restore_chunks(result, cfg), path)
+    parts = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return parts.select(F.sha2("content", 256).alias("sha256"), F.col("length").alias("size"))
 
 
-def _touches(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _fixed(spark, sf, 1024)
-    return rows.select("client", "version", F.substring("fp", 1, 2).alias("feature")).distinct()
+# version windows
 
 
 def _current(rows: DataFrame) -> int:
     return rows.agg(F.max("version")).first()[0] or 0
 
 
-@query
-def version_window_index(spark: SparkSession, sf: str) -> DataFrame:
-    touches = settle(_touches(spark, sf), "touches")
-    return versions.live_features(touches, _current(touches), CFG.keep_versions)
-
-
-@query
-def version_window_evicted(spark: SparkSession, sf: str) -> DataFrame:
-    touches = settle(_touches(spark, sf), "touches")
-    return versions.evicted(touches, _current(touches), CFG.keep_versions)
-
-
-@query
-def cache_refcount(spark: SparkSession, sf: str) -> DataFrame:
-    """References to each cached base (the least chunk that has a feature) from the live features, and its size."""
-    rows = _fixed(spark, sf, 1024).select("client", "fp", "size", F.substring("fp", 1, 2).alias("feature"))
-    touches = settle(_touches(spark, sf), "touches")
-    live = versions.live_features(touches, _current(touches), CFG.keep_versions)
-    index = rows.groupBy("client", "feature").agg(F.min("fp").alias("base_fp")).join(live, ["client", "feature"], "left_semi")
-    sizes = rows.groupBy(F.col("fp").alias("base_fp")).agg(F.max("size").cast("long").alias("size"))
-    return versions.reference_counts(index, sizes)
-
-
 def _feature_rows(spark: SparkSession, sf: str) -> DataFrame:
     """(client, version, fp, size, feature) of every chunk, by the whole super-features of _shingled."""
     rows = _fixed(spark, sf, 1024).select("client", "version", "fp", F.col("size").cast("long").alias("size"))
@@ -482,34 +476,44 @@ def _feature_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query
-def version_window_index_whole(spark: SparkSession, sf: str) -> DataFrame:
-    """The index by whole super-features after the table's last version; version_window_index has two digits of a fingerprint."""
+def version_window_index(spark: SparkSession, sf: str) -> DataFrame:
+    """The index by super-features after the table's last version."""
     rows = _feature_rows(spark, sf)
     return versions.live_features(rows, _current(rows), CFG.keep_versions)
 
 
 @query
-def version_window_evicted_whole(spark: SparkSession, sf: str) -> DataFrame:
+def version_window_evicted(spark: SparkSession, sf: str) -> DataFrame:
     rows = _feature_rows(spark, sf)
     return versions.evicted(rows, _current(rows), CFG.keep_versions)
 
 
 @query
-def cache_refcount_whole(spark: SparkSession, sf: str) -> DataFrame:
-    """cache_refcount by whole super-features."""
+def cache_refcount(spark: SparkSession, sf: str) -> DataFrame:
+    """References to each cached base (the least chunk that has a feature) from the live features, and its size."""
     rows = _feature_rows(spark, sf)
     live = versions.live_features(rows, _current(rows), CFG.keep_versions)
     index = rows.groupBy("client", "feature").agg(F.min("fp").alias("base_fp")).join(live, ["client", "feature"], "left_semi")
     return versions.reference_counts(index, rows.groupBy(F.col("fp").alias("base_fp")).agg(F.max("size").alias("size")))
 
 
+@query
+def client_cache_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    """By client: bytes of the version index (12 a feature), cached bases, and their bytes."""
+    rows = _feature_rows(spark, sf)
+    live = versions.live_features(rows, _current(rows), CFG.keep_versions)
+    held = cache_refcount(spark, sf).groupBy("client").agg(F.count("*").alias("cached_chunks"), F.sum("size").cast("long").alias("cached_bytes"))
+    size = pipelines.index_sizes(F.count("*"), F.lit(0), F.lit(0))["version_index_bytes"].cast("long")
+    return live.groupBy("client").agg(size.alias("version_index_bytes")).join(held, "client")
+
+
 @query
 def window_similarity(spark: SparkSession, sf: str) -> DataFrame:
     """Similar chunks of every client and version under the version window."""
     rows = chunks.content_defined(_objects(spark, sf))
     placed = rows.orderBy("version", "file_id", "chunk_no").withColumn("seq", F.monotonically_increasing_id())
     placed = settle(placed.select("seq", "client", "version", hashes.super_features(F.col("data"), CFG.sketch).alias("features")), "placed")
-    found = versions.window_similarity(placed, CFG.keep_versions, CFG.greedy_rounds, CFG.group_rows)
+    found, _ = versions.window_similarity(placed, CFG.keep_versions, CFG.greedy_rounds, CFG.group_rows)
     return placed.join(found, "seq").groupBy("client", "version").agg(F.count("*").alias("chunks"), F.count("base").alias("similar_chunks"))
 
 

@@ -2,19 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern import files as stored
+from quern.config import ReductionConfig
 from quern.functions.hashes import object_id
+from quern.ship import ship
+from quern.tables import numbered
+
 
+def files(spark: SparkSession, path: str, client: str = "0", pattern: str | None = None, read_bytes: int = ReductionConfig.read_bytes) -> DataFrame:
+    """(file_id, client, version, part, content, path): files in parts of read_bytes, a version each, in order of their
+    names (as sorted names of backups are versions). No chunk spans two parts.
 
-def files(spark: SparkSession, path: str, client: str = "0", pattern: str | None = None) -> DataFrame:
-    """Whole files, a version each, in order of their names (as sorted names of backups are versions)."""
+    A file of one part comes from Spark's reader; of larger ones each part is read by itself, from stores that
+    executors reach by path. An empty file has no row, as it has no chunk."""
+    ship(spark)
     reader = spark.read.format("binaryFile")
     found = (reader.option("pathGlobFilter", pattern) if pattern else reader).load(path)
-    names = found.select("path").distinct()
-    order = names.select("path", (F.row_number().over(Window.orderBy("path")) - 1).cast("int").alias("version"))
-    return found.join(order, "path").select(object_id(F.col("path"), F.lit(client)).alias("file_id"), F.lit(client).alias("client"), "version", "content", "path")
+    order = numbered(found.select("path").distinct(), ["path"], "version")
+    one = found.where(F.col("length") <= read_bytes).select("path", F.lit(0).cast("long").alias("part"), "content")
+    ranges = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / read_bytes)))
+    many = found.where(F.col("length") > read_bytes).select("path", ranges.alias("part")).repartition("path", "part")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, part in zip(b["path"].to_pylist(), b["part"].to_pylist(), strict=True):
+                with stored.reading(name) as f:
+                    f.seek(part * read_bytes)
+                    yield pa.record_batch([[name], [part], [f.read(read_bytes)]], names=["path", "part", "content"])
+
+    parts = one.unionByName(many.mapInArrow(read, "path string, part long, content binary"))
+    named = parts.join(order, "path")
+    return named.select(object_id(F.col("path"), F.lit(client)).alias("file_id"), F.lit(client).alias("client"), F.col("version").cast("int").alias("version"), "part", "content", "path")
 
 
 def from_table(rows: DataFrame, key: Column, text: Column, client: Column, version: Column) -> DataFrame:
@@ -28,10 +52,12 @@ def documents(spark: SparkSession, sf_dir: str, versions: int = 4) -> DataFrame:
     return from_table(spark.read.parquet(f"{sf_dir}/documents.parquet"), F.col("doc_id"), F.col("text"), F.coalesce("lang", F.lit("")), F.floor(number / F.lit(20 // versions)))
 
 
-def rows_as_backups(rows: DataFrame, version: Column, order: list[str]) -> DataFrame:
-    """Rows of a table in JSON, a line each, as one object a version: for small tables (an object is one value)."""
-    line = F.to_json(F.struct(*sorted(rows.columns)))
-    some = rows.select(version.cast("int").alias("version"), F.struct(*order).alias("o"), line.alias("line"))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "line"))), lambda x: x["line"]), "\n")
-    whole = some.groupBy("version").agg(F.encode(body, "UTF-8").alias("content"))
-    return whole.select(F.col("version").cast("string").alias("file_id"), F.lit("0").alias("client"), "version", "content")
+def rows_as_backups(rows: DataFrame, version: Column, key: Column, line: Column, keys: int = 4096) -> DataFrame:
+    """Rows of a table, a line each in order of their keys, as backup objects: one for each version and run of `keys` keys.
+
+    Where keys are unique an object has `keys` lines at most."""
+    block = F.floor(key / keys).cast("long")
+    some = rows.select(version.cast("int").alias("version"), block.alias("block"), F.struct(key.alias("key"), line.alias("line")).alias("row"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list("row")), lambda x: x["line"]), "\n")
+    whole = some.groupBy("version", "block").agg(F.encode(body, "UTF-8").alias("content"))
+    return whole.select(F.concat_ws(":", F.col("version").cast("string"), F.col("block").cast("string")).alias("file_id"), F.lit("0").alias("client"), "version", "content")

@@ -6,9 +6,10 @@ version, so that restoring one reads one."""
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern import files
@@ -37,9 +38,10 @@ def load(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 
 def require(recipe: DataFrame, file_ids: list[str]) -> None:
     """Every name must have a recipe."""
-    known = {r[0] for r in recipe.where(F.col("file_id").isin(file_ids)).select("file_id").distinct().collect()}
-    if missing := sorted(set(file_ids) - known):
-        raise MissingObject(", ".join(missing[:10]))
+    asked = recipe.sparkSession.createDataFrame([(i,) for i in sorted(set(file_ids))], "file_id string")
+    missing = asked.join(recipe.select("file_id").distinct(), "file_id", "left_anti").orderBy("file_id").limit(10).collect()
+    if missing:
+        raise MissingObject(", ".join(r[0] for r in missing))
 
 
 def upsert_index(stored: DataFrame | None, new: DataFrame, key: str) -> DataFrame:
@@ -56,22 +58,29 @@ def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("header", True).csv(path)
 
 
-def write_objects(restored: DataFrame, path: str, suffix: str = "-d") -> DataFrame:
-    """Restored (client, version, file_id, content) as files below path: (path, size) of each.
+def totals(log: DataFrame, by: str, columns: list[str]) -> DataFrame:
+    """Running totals over the rows of a log, whatever runs wrote them: what counters kept between runs would hold."""
+    order = Window.orderBy(by).rowsBetween(Window.unboundedPreceding, 0)  # a row for each run
+    return log.select(by, *[F.sum(c).over(order).cast("long").alias(c) for c in columns])
 
-    Executors write, so path must be one that they share. A file appears under its name only when complete."""
-    ship(restored.sparkSession)
+
+def write_objects(chunks: DataFrame, path: str, suffix: str = "-d") -> DataFrame:
+    """Restored chunks (client, version, file_id, chunk_no, data) as files below path: (path, size) of each.
+
+    A task writes a file chunk by chunk, so files may be of any size. Executors write, so path must be one that
+    they share. A file appears under its name only when complete."""
+    ship(chunks.sparkSession)
     schema = pa.schema([("path", pa.string()), ("size", pa.int64())])
+    names = ["client", "version", "file_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            names, sizes = [], []
-            for client, version, file_id, content in zip(*(b[c].to_pylist() for c in ("client", "version", "file_id", "content")), strict=True):
-                name = f"{path}/{client}/{version}/{file_id}{suffix}"
-                with files.replacing(name) as f:
-                    f.write(content)
-                names.append(name)
-                sizes.append(len(content))
-            yield pa.record_batch([names, sizes], schema=schema)
-
-    return settle(restored.select("client", "version", "file_id", "content").mapInArrow(run, "path string, size long"), "written")
+        rows = (r for b in batches for r in zip(*(b[c].to_pylist() for c in (*names, "data")), strict=True))
+        for (client, version, file_id), own in groupby(rows, key=lambda r: r[:3]):
+            name, size = f"{path}/{client}/{version}/{file_id}{suffix}", 0
+            with files.replacing(name) as f:
+                for r in own:
+                    size += f.write(r[3])
+            yield pa.record_batch([[name], [size]], schema=schema)
+
+    sorted_rows = chunks.select(*names, "chunk_no", "data").repartition(*names).sortWithinPartitions(*names, "chunk_no")
+    return settle(sorted_rows.mapInArrow(run, "path string, size long"), "written")

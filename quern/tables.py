@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _OWN_DIR: dict[str, str] = {}
@@ -63,6 +63,14 @@ def settle(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """df with a gapless number from 0 in the order given: sorted in ranges, each range counted, no single task over all."""
+    rows = settle(df.orderBy(*order).withColumn("_id", F.monotonically_increasing_id()), "sorted").withColumn("_range", F.shiftrightunsigned("_id", 33))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    starts = rows.groupBy("_range").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    return rows.join(F.broadcast(starts.drop("_n")), "_range").withColumn(name, F.col("_before") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).drop("_id", "_range", "_before")
+
+
 def salted_join(big: DataFrame, small: DataFrame, on: list[str], by: Column, how: str = "left", salts: int = 16) -> DataFrame:
     """Join on keys of which one may hold a large part of big's rows.
 

@@ -132,3 +132,17 @@ def test_config():
         ChunkParams(10, 5, 20)
     with pytest.raises(ValueError):
         ReductionConfig(chunker="none")
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.binary(max_size=600), st.sampled_from(["zstd", "zlib", "lz4"]))
+def test_codecs_give_back_what_they_took(data, kind):
+    for d in (data, data * 9):
+        payload, packed = codec.compress(d, 1, kind)
+        assert codec.decompress(payload, packed, kind) == d and len(payload) <= len(d)
+
+
+def test_random_padding_goes_up_to_the_largest_chunk():
+    a, b = (codec.pad(b"packed", 1024, 1000, 255, salt) for salt in (b"one", b"two"))
+    assert a != b and len(a) == len(b) == 6 + 4 * (1000 % 255 // 4) + 4 and codec.unpad(a) == codec.unpad(b) == b"packed"
+    assert len(codec.pad(b"x" * 1022, 1024, 1000, 255, b"s")) == 1022 + 4

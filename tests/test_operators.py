@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from quern.operators.chunk import chunk, content_defined, fixed
 from quern.plans import pipelines
 from quern.plans.queries import QUERIES
 from quern.sources import objects, store
-from quern.tables import components, salted_join
+from quern.tables import components, hot_join, numbered, salted_join
 
 
 def objects_of(spark, rows):
@@ -89,9 +90,9 @@ def test_vote_ties(spark):
 def test_window_forgets_what_a_version_does_not_touch(spark):
     rows = [(0, "a", 0, [1, 2, 3]), (1, "a", 1, [7, 8, 9]), (2, "a", 2, [1, 2, 3]), (3, "a", 2, [1, 5, 6]), (4, "b", 2, [1, 2, 3]), (5, "a", 3, [3, 0, 0])]
     df = spark.createDataFrame(rows, "seq long, client string, version int, features array<long>")
-    got = {r["seq"]: r["base"] for r in versions.window_similarity(df).collect()}
+    got = {r["seq"]: r["base"] for r in versions.window_similarity(df)[0].collect()}
     assert got == {0: None, 1: None, 2: None, 3: 2, 4: None, 5: 2}
-    longer = {r["seq"]: r["base"] for r in versions.window_similarity(df, keep=3).collect()}
+    longer = {r["seq"]: r["base"] for r in versions.window_similarity(df, keep=3)[0].collect()}
     assert longer[2] == 0 and longer[5] == 0
 
 
@@ -118,10 +119,10 @@ def test_window_queries_have_whole_features(spark, tmp_path):
     rng = random.Random(11)
     texts = [(i, f"src{25 * (i >= 400)}", "".join(rng.choices("abcdefghij", k=60))) for i in range(800)]
     spark.createDataFrame([(i, t, "en", s) for i, s, t in texts], "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
-    live, gone = (QUERIES[f"version_window_{n}_whole"](spark, str(tmp_path)).collect() for n in ("index", "evicted"))
+    live, gone = (QUERIES[f"version_window_{n}"](spark, str(tmp_path)).collect() for n in ("index", "evicted"))
     assert {r["version"] for r in live} == {5} and {r["version"] for r in gone} == {0} and len(live) > 1000 < len(gone)
     assert all(len(r["feature"]) == 32 for r in live + gone) and not {r["feature"] for r in live} & {r["feature"] for r in gone}
-    assert QUERIES["cache_refcount_whole"](spark, str(tmp_path)).count() > 256
+    assert QUERIES["cache_refcount"](spark, str(tmp_path)).count() > 256
 
 
 def test_queries_take_every_version_of_the_table(spark, tmp_path):
@@ -190,7 +191,7 @@ def test_restore_is_byte_exact(spark, method):
     s = pipelines.stats(result).first()
     assert s["unique_bytes"] <= s["sent_bytes"] and s["unique_chunks"] < s["logical_chunks"] and s["logical_bytes"] == sum(len(r[3]) for r in rows)
     bases = {r["fp"] for r in result.addr.where("kind <> 'delta'").collect()}
-    assert all(r["base_fp"] in bases for r in result.addr.where("kind = 'delta'").collect())
+    assert all(r["base_fp"] in bases for r in result.addr.where("kind in ('delta', 'twin_delta')").collect())
 
 
 def test_restore_several_clients_and_versions(spark, tmp_path):
@@ -234,10 +235,79 @@ def test_files_as_versions(spark, tmp_path):
     assert got == {"v1.bin": (0, b"\1" * 10), "v2.bin": (1, b"\0" * 10)}
 
 
+def test_large_files_come_in_parts(spark, tmp_path):
+    rng = random.Random(3)
+    held = {"a b.bin": rng.randbytes(5000), "c.bin": rng.randbytes(1000), "d.bin": b"", "e.bin": rng.randbytes(3000)}
+    for name, data in held.items():
+        (tmp_path / name).write_bytes(data)
+    for cfg in (ReductionConfig(read_bytes=1000), ReductionConfig(chunker="fixed", read_bytes=1000)):
+        found = objects.files(spark, str(tmp_path), pattern="*.bin", read_bytes=1000)
+        assert sorted(found.groupBy("path").count().toPandas()["count"]) == [1, 3, 5]
+        made = chunk(found.drop("path"), cfg)
+        by = {}
+        for r in made.orderBy("version", "chunk_no").collect():
+            assert r["start"] == len(by.get(r["version"], b"")) and r["start"] // 1000 == (r["start"] + r["size"] - 1) // 1000
+            by[r["version"]] = by.get(r["version"], b"") + bytes(r["data"])
+        assert by == {i: held[n] for i, n in enumerate(("a b.bin", "c.bin", "e.bin"))}
+        result = pipelines.upload(found.drop("path"), "plain", cfg)
+        out = store.write_objects(pipelines.restore_chunks(result, cfg), str(tmp_path / f"out-{cfg.chunker}")).collect()
+        assert sorted(r["size"] for r in out) == [1000, 3000, 5000]
+        assert {open(r["path"], "rb").read() for r in out} == {d for d in held.values() if d}
+
+
 def test_rows_as_backups(spark):
-    df = spark.createDataFrame([(1, 2, "b"), (1, 1, "a"), (2, 3, "c")], "m int, k int, s string")
-    got = {r["version"]: bytes(r["content"]).decode() for r in objects.rows_as_backups(df, F.col("m"), ["k"]).collect()}
-    assert got == {1: '{"k":1,"m":1,"s":"a"}\n{"k":2,"m":1,"s":"b"}', 2: '{"k":3,"m":2,"s":"c"}'}
+    df = spark.createDataFrame([(1, 2, "b"), (1, 1, "a"), (2, 3, "c"), (1, 9, "d")], "m int, k int, s string")
+    got = {r["file_id"]: bytes(r["content"]).decode() for r in objects.rows_as_backups(df, F.col("m"), F.col("k"), F.concat_ws("|", "k", "s"), keys=5).collect()}
+    assert got == {"1:0": "1|a\n2|b", "1:1": "9|d", "2:0": "3|c"}
+
+
+def test_columns_named_like_a_chunk_s_give_way(spark):
+    df = spark.createDataFrame([("f", bytearray(b"abcd" * 40), 7, "x", 1, 2, 3)], "file_id string, content binary, size int, start string, _at int, _ends int, _piece int")
+    for made in (fixed(df, 64), content_defined(df)):
+        assert sorted(made.columns) == sorted(["file_id", "_at", "_ends", "_piece", "chunk_no", "start", "size", "data"])
+        rows = made.orderBy("chunk_no").collect()
+        assert b"".join(bytes(r["data"]) for r in rows) == b"abcd" * 40 and {(r["_at"], r["_ends"], r["_piece"]) for r in rows} == {(1, 2, 3)}
+
+
+def test_numbers_have_no_gap(spark):
+    df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k")).repartition(7)
+    assert {(r["k"], r["n"]) for r in numbered(df, ["k"], "n").collect()} == {(i, i) for i in range(1000)}
+
+
+def test_hot_keys_are_dealt_out(spark):
+    big = spark.range(1000).select(F.col("id"), F.when(F.col("id") < 700, 1).otherwise(F.col("id") % 9).alias("k"))
+    small = spark.createDataFrame([(i, f"v{i}") for i in range(1, 9)], "k long, v string")
+    for hot in (10, 100_000):
+        got = hot_join(big, small, ["k"], F.col("id"), hot).collect()
+        assert len(got) == big.where("k > 0").count() and all(r["v"] == f"v{r['k']}" for r in got)
+
+
+def test_a_later_session_goes_on_with_the_window(spark):
+    rows = [(0, "a", 0, [1, 2, 3]), (1, "a", 1, [1, 8, 9]), (2, "a", 2, [1, 2, 3]), (3, "a", 2, [9, 5, 6]), (4, "b", 2, [1, 2, 3]), (5, "a", 3, [3, 0, 0])]
+    df = spark.createDataFrame(rows, "seq long, client string, version int, features array<long>")
+    whole, _ = versions.window_similarity(df)
+    first, index = versions.window_similarity(df.where("version < 2"))
+    then, _ = versions.window_similarity(df.where("version >= 2"), index=index)
+    assert sorted(first.unionByName(then).collect()) == sorted(whole.collect())
+
+
+def test_bases_of_other_clients_and_two_levels(spark):
+    """full: client b's first chunks are deltas of client a's compressed ones, its next version's deltas of its own."""
+    rng = random.Random(5)
+    one = "".join(rng.choices("abcdefgh ", k=20_000)).encode()
+    edit = lambda b, n: bytes(c if i % n else 35 for i, c in enumerate(b))
+    rows = [("a", 0, "x", one), ("b", 0, "y", edit(one, 257)), ("b", 1, "z", edit(edit(one, 257), 211)), ("c", 1, "x", one)]
+    result = pipelines.upload(objects_of(spark, rows), "full")
+    kinds = {r["fp"]: (r["kind"], r["base_fp"], r["client"]) for r in result.addr.collect()}
+    count = Counter((k, c) for k, _, c in kinds.values())
+    assert count["twin_delta", "b"] > 0 and count["delta", "b"] > 0 and not count["twin_delta", "a"]
+    assert any(k == "delta" and kinds[b][0] == "twin_delta" for k, b, _ in kinds.values())
+    assert all(kinds[b][0] == "pair" for k, b, _ in kinds.values() if k == "twin_delta")
+    got = {(r["client"], r["file_id"]): bytes(r["content"]) for r in pipelines.restore(result).collect()}
+    assert got == {(c, f): b for c, _, f, b in rows}
+    s = pipelines.stats(result).first()
+    assert s["local_chunks"] == count["delta", "b"] and s["global_chunks"] == sum(n for (k, _), n in count.items() if k == "twin_delta")
+    assert s["sent_bytes"] > s["received_bytes"] > 0
 
 
 def test_index_upsert(spark):
@@ -267,7 +337,7 @@ def test_fixed_chunker_setting(spark):
 
 
 def test_restored_objects_as_files(spark, tmp_path):
-    df = objects_of(spark, [("a", 0, "f", b"one"), ("b", 2, "g", b"")])
+    df = spark.createDataFrame([("a", 0, "f", 1, bytearray(b"ne")), ("a", 0, "f", 0, bytearray(b"o")), ("b", 2, "g", 0, bytearray())], "client string, version int, file_id string, chunk_no long, data binary")
     rows = store.write_objects(df, str(tmp_path)).collect()
     assert {r["path"].removeprefix(f"{tmp_path}/"): r["size"] for r in rows} == {"a/0/f-d": 3, "b/2/g-d": 0}
     assert (tmp_path / "a/0/f-d").read_bytes() == b"one" and not list(tmp_path.rglob("*.part"))
