@@ -24,9 +24,10 @@ def op1_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quern.llm.secrets import digest, find, labelled_samples, train
+    from quern.llm.secrets import digest, find, labelled_samples, train, words_of
 
-    return digest(find(_read(spark, sf_dir, "documents"), train(labelled_samples(spark))))
+    docs = _read(spark, sf_dir, "documents")
+    return digest(find(docs, train(labelled_samples(spark).unionByName(words_of(docs)))))
 
 
 def op3_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,13 +1,16 @@
 """Secret scans: fixed patterns, and character Markov models compared by log-likelihood ratio.
 
 Everything is DataFrame expressions: models are counted from labelled samples by group-by, and texts are
-scanned row by row without a shuffle.
+scanned row by row without a shuffle. Labelled samples come in kinds, which weigh alike within their label:
+random strings and identifiers by rule, and as ordinary strings all words of the documents themselves, outside
+what the fixed patterns find, as often as they occur (a secret is rare among them).
 
 Base kinds (fixed patterns, leftmost and non-overlapping each): assign, access, hex. The method's kind is
 markov: what base spans leave of runs of key characters, in pieces of `least` or more, of which two first-order
 character models, one of random strings and one of ordinary identifiers and words, give a log-likelihood ratio
 of at least `bar` nats a character. A piece below the bar is searched for its stretch of `least` or more that is
-furthest above it in sum, then what lies before and behind that stretch. All must hold a letter and a digit.
+furthest above it in sum, then what lies before and behind that stretch. All must hold a letter; those without a
+digit, which are words more often than not, must be `wordy` nats a character above the bar.
 
 Places are code points, end exclusive. They follow from the lengths of a pattern's matches and of what
 lies between them.
@@ -41,6 +44,7 @@ KEY = "A-Za-z0-9+/_=-"
 class SecretParams:
     least: int = 20
     bar: float = 0.35
+    wordy: float = 0.35
     smooth: float = 0.5
 
 
@@ -68,26 +72,44 @@ def labelled_samples(spark: SparkSession, n: int = 4000) -> DataFrame:
     ]
     ordinary = F.element_at(F.array(*kinds), (F.pmod(F.col("id"), F.lit(len(kinds))) + 1).cast("int"))
     ids = spark.range(n)
-    return ids.select(random.alias("text"), F.lit(True).alias("random")).unionByName(ids.select(ordinary.alias("text"), F.lit(False).alias("random")))
+    one = F.lit(1).cast("long").alias("n")
+    return ids.select(random.alias("text"), F.lit(True).alias("random"), F.lit("rule").alias("kind"), one).unionByName(ids.select(ordinary.alias("text"), F.lit(False).alias("random"), F.lit("rule").alias("kind"), one))
+
+
+def words_of(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(text, random, kind, n): the distinct runs of key characters of all texts, outside base matches, as ordinary samples.
+
+    Words are counted before the shuffle; what a task holds grows with distinct words, not with their number."""
+    t = F.col(text).cast("string")
+    for _, pattern, _, _ in BASE:
+        t = F.regexp_replace(t, pattern, " ")
+    runs = docs.where(F.col(text).isNotNull()).select(F.explode(F.regexp_extract_all(t, F.lit(rf"[{KEY}]+"), F.lit(0))).alias("text"))
+    return runs.groupBy("text").agg(F.count("*").alias("n")).select("text", F.lit(False).alias("random"), F.lit("words").alias("kind"), "n")
 
 
 def train(samples: DataFrame, p: SecretParams = SecretParams()) -> list[float]:
     """Log-likelihood ratio of every pair of characters, WIDTH * WIDTH values: 0 is the start or a foreign character.
 
-    The counts are a group-by over all samples; WIDTH^2 rows of each label come back."""
+    The counts are a group-by over all samples; WIDTH^2 rows of each label and kind come back."""
     place = lambda c: F.instr(F.lit(ALPHABET), c)
-    text = F.col("text")
-    at = F.explode(F.sequence(F.lit(1), F.length(text)))
-    pairs = samples.where("text is not null and text <> '' and random is not null").select("random", "text", at.alias("i"))
-    before = F.when(F.col("i") == 1, 0).otherwise(place(F.substring(text, F.col("i") - 1, F.lit(1))))
-    counts = pairs.select("random", before.alias("a"), place(F.substring(text, F.col("i"), F.lit(1))).alias("b")).groupBy("random", "a", "b").agg(F.count("*").alias("n"))
-    table = {True: [p.smooth] * (WIDTH * WIDTH), False: [p.smooth] * (WIDTH * WIDTH)}
-    seen = set()
+    codes = F.transform(F.filter(F.split(F.col("text"), ""), lambda c: c != ""), place)
+    pairs = samples.where("text is not null and text <> '' and random is not null").select("random", "kind", "n", codes.alias("c"))
+    before = F.slice(F.concat(F.array(F.lit(0)), F.col("c")), F.lit(1), F.size("c"))
+    each = pairs.select("random", "kind", "n", F.explode(F.zip_with(before, "c", lambda a, b: a * WIDTH + b)).alias("at"))
+    counts = each.groupBy("random", "kind", "at").agg(F.sum("n").alias("n"))
+    found: dict[bool, dict[str, dict[int, int]]] = {}
     for r in counts.collect():
-        table[r["random"]][r["a"] * WIDTH + r["b"]] += r["n"]
-        seen.add(r["random"])
-    if len(seen) < 2:
+        found.setdefault(r["random"], {}).setdefault(r["kind"], {})[r["at"]] = r["n"]
+    if len(found) < 2:
         return [0.0] * (WIDTH * WIDTH)
+    mass = sum(sum(k.values()) for k in found[True].values())  # every kind of a label is brought to an equal share of this
+    table = {}
+    for label, kinds in found.items():
+        table[label] = [p.smooth] * (WIDTH * WIDTH)
+        for kind in sorted(kinds):
+            scale = mass / len(kinds) / sum(kinds[kind].values())
+            for at, n in kinds[kind].items():
+                table[label][at] += n * scale
     out = []
     for a in range(WIDTH):
         row = slice(a * WIDTH, (a + 1) * WIDTH)
@@ -109,8 +131,13 @@ SPANS = "array<struct<start:int,end:int,rank:int,kind:string,text:string>>"
 PIECES = "array<struct<start:int,end:int>>"
 
 
-def _mixed(text: Column) -> Column:
-    return text.rlike("[0-9]") & text.rlike("[A-Za-z]")
+def _lettered(text: Column) -> Column:
+    return text.rlike("[A-Za-z]")
+
+
+def _likely(text: Column, mean: Column, p: SecretParams) -> Column:
+    """Random enough: at the bar, or well above it for want of a digit."""
+    return _lettered(text) & (mean >= F.when(text.rlike("[0-9]"), p.bar).otherwise(p.bar + p.wordy))
 
 
 def _bind(value: Column, f) -> Column:
@@ -153,8 +180,8 @@ def random_parts(run: Column, base: Column, model: list[float], p: SecretParams,
         lambda s: F.concat(s["out"], piece(s["at"], run["end"])),
     )
 
-    def one(a: Column, b: Column, text: Column) -> Column:
-        return F.when(_mixed(text), F.array(F.struct(a.alias("start"), b.alias("end"), F.lit(rank).alias("rank"), F.lit("markov").alias("kind"), text.alias("text")))).otherwise(no_spans)
+    def one(a: Column, b: Column, text: Column, mean: Column) -> Column:
+        return F.when(_likely(text, mean, p), F.array(F.struct(a.alias("start"), b.alias("end"), F.lit(rank).alias("rank"), F.lit("markov").alias("kind"), text.alias("text")))).otherwise(no_spans)
 
     def step(s: Column, _: Column) -> Column:
         head, rest = F.element_at(s["todo"], 1), F.slice(s["todo"], F.lit(2), F.size(s["todo"]))
@@ -164,10 +191,11 @@ def random_parts(run: Column, base: Column, model: list[float], p: SecretParams,
             def cut(g: Column) -> Column:
                 a, b = head["start"] + g["start"], head["start"] + g["end"]
                 more = F.concat(rest, piece(head["start"], a), piece(b, head["end"]))
-                return F.when(g["sum"] >= 0, state(more, one(a, b, t.substr(g["start"] + 1, g["end"] - g["start"])))).otherwise(state(rest, no_spans))
+                mean = g["sum"] / (g["end"] - g["start"]) + p.bar
+                return F.when(g["sum"] >= 0, state(more, one(a, b, t.substr(g["start"] + 1, g["end"] - g["start"]), mean))).otherwise(state(rest, no_spans))
 
-            searched = F.when(_mixed(t), _bind(best_stretch(t, model, p), cut)).otherwise(state(rest, no_spans))
-            return F.when(ratio(t, model) >= p.bar, state(rest, one(head["start"], head["end"], t))).otherwise(searched)
+            searched = F.when(_lettered(t), _bind(best_stretch(t, model, p), cut)).otherwise(state(rest, no_spans))
+            return _bind(ratio(t, model), lambda m: F.when(_likely(t, m, p), state(rest, one(head["start"], head["end"], t, m))).otherwise(searched))
 
         return F.when(F.size(s["todo"]) > 0, _bind(run["text"].substr(head["start"] - run["start"] + 1, head["end"] - head["start"]), parts)).otherwise(s)
 
@@ -201,7 +229,7 @@ def find(docs: DataFrame, model: list[float], p: SecretParams = SecretParams(),
     run = rf"(?<![{KEY}])[{KEY}]{{{p.least},}}"
     kinds = [spans(t, pattern, group, least, kind, i) for i, (kind, pattern, group, least) in enumerate(BASE)]
     made = rows.select(key, F.array_sort(F.concat(*kinds)).alias("base"), spans(t, run, 0, p.least, "markov", len(BASE)).alias("runs"))
-    added = F.array_sort(F.flatten(F.transform(F.filter("runs", lambda x: _mixed(x["text"])), lambda x: random_parts(x, F.col("base"), model, p, len(BASE)))))
+    added = F.array_sort(F.flatten(F.transform(F.filter("runs", lambda x: _lettered(x["text"])), lambda x: random_parts(x, F.col("base"), model, p, len(BASE)))))
     return made.select(key, "base", F.when(F.size("runs") > 0, added).otherwise(F.col("runs")).alias("markov"))
 
 
