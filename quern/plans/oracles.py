@@ -46,6 +46,44 @@ t AS (SELECT c.client, feat.f AS feature, max(c.version) AS version FROM c JOIN
 cur AS (SELECT max(version) AS now FROM c)"""
 
 
+#: Distinct chunks in order of their first place, walked one by one: a chunk of which no feature is owned becomes a base.
+_GREEDY = "RECURSIVE " + _SHINGLES + """,
+pl AS (SELECT fp, min({'version': version, 'file_id': file_id, 'chunk_no': chunk_no}) AS place FROM c GROUP BY fp),
+ft AS (SELECT fp, list(CAST('0x' || substr(f, 1, 15) AS BIGINT) ORDER BY i) AS fs FROM feat GROUP BY fp),
+q AS (SELECT fp, fs, row_number() OVER (ORDER BY place) AS seq FROM pl JOIN ft USING (fp)),
+wk AS (
+  SELECT CAST(0 AS BIGINT) AS seq, CAST([] AS BIGINT[]) AS owned, false AS is_base
+  UNION ALL
+  SELECT q.seq, CASE WHEN list_has_any(wk.owned, q.fs) THEN wk.owned ELSE list_concat(wk.owned, q.fs) END, NOT list_has_any(wk.owned, q.fs) FROM wk JOIN q ON q.seq = wk.seq + 1),
+ow AS (SELECT DISTINCT unnest(q.fs) AS f, q.seq AS base FROM q JOIN wk USING (seq) WHERE wk.is_base),
+bal AS (SELECT seq, unnest(fs) AS f, unnest([0, 1, 2]) AS pos FROM q JOIN wk USING (seq) WHERE NOT wk.is_base),
+per AS (SELECT bal.seq, ow.base, count(*) AS votes, min(pos) AS pos FROM bal JOIN ow USING (f) WHERE ow.base < bal.seq GROUP BY ALL),
+won AS (SELECT seq, base FROM (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY votes DESC, pos, base DESC) AS rn FROM per) WHERE rn = 1),
+gr AS (SELECT q.seq, q.fp, won.base, b.fp AS base_fp, coalesce(b.fs, q.fs) AS fs FROM q LEFT JOIN won USING (seq) LEFT JOIN q b ON b.seq = won.base)"""
+
+_LE = "||".join(f"substr(printf('%016x', x), {i}, 2)" for i in range(15, 0, -2))
+
+#: The chunker's rule byte by byte: [place, bytes in the chunk, hash, ends...]; 160 is where the loose mask begins.
+_CDC = """
+gear AS (SELECT list(CAST('0x' || substr(h, 7, 2) || substr(h, 5, 2) || substr(h, 3, 2) || substr(h, 1, 2) AS BIGINT) // 2 ORDER BY b) AS g FROM (SELECT b, sha256('gear:0:' || b) AS h FROM range(0, 256) t(b))),
+obj AS (SELECT CAST(doc_id AS VARCHAR) AS file_id, hex(encode(text)) AS h FROM documents WHERE text <> ''),
+walk AS (
+  SELECT file_id, h, list_reduce(list_prepend(CAST([0, 0, 0] AS BIGINT[]), list_transform(range(0, length(h) // 2), lambda i: [CAST('0x' || substr(h, CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT)])),
+    lambda s, x: CASE
+      WHEN s[2] < 64 THEN list_concat([s[1] + 1, s[2] + 1, 0], s[4:])
+      WHEN s[2] + 1 >= 1024 OR ((s[3] // 2 + g[x[1] + 1]) & (CASE WHEN s[2] < 160 THEN 511 ELSE 127 END)) = 0 THEN list_append(list_concat([s[1] + 1, 0, 0], s[4:]), s[1] + 1)
+      ELSE list_concat([s[1] + 1, s[2] + 1, s[3] // 2 + g[x[1] + 1]], s[4:]) END) AS s
+  FROM obj, gear),
+ends AS (SELECT file_id, h, CASE WHEN s[2] > 0 THEN list_append(s[4:], s[1]) ELSE s[4:] END AS e FROM walk),
+c AS (SELECT file_id, CAST(i - 1 AS BIGINT) AS chunk_no, CAST(CASE WHEN i = 1 THEN 0 ELSE e[i - 1] END AS BIGINT) AS start, CAST(e[i] AS BIGINT) AS stop, h FROM (SELECT *, unnest(range(1, len(e) + 1)) AS i FROM ends))"""
+
+
+def _received(size: str) -> str:
+    return f"""WITH {_LABEL}, lo AS (SELECT client, version, count(*) AS logical_chunks, {_SUM} AS logical_bytes, count(DISTINCT file_id) AS files, CAST(sum({size}) AS BIGINT) AS got FROM l GROUP BY client, version),
+un AS (SELECT client, version, count(*) AS unique_chunks FROM l WHERE first GROUP BY client, version)
+SELECT client, version, logical_chunks, logical_bytes, files, coalesce(unique_chunks, 0) AS unique_chunks, got AS received_bytes, got AS sent_bytes FROM lo LEFT JOIN un USING (client, version)"""
+
+
 def _stats(ctes: str, by: str = "") -> str:
     cols = f"{by}, " if by else ""
     group = f" GROUP BY {by}" if by else ""
@@ -61,6 +99,8 @@ ORACLES: dict[str, str] = {
 x AS (SELECT page_id, substr(h, CAST(i * 2048 + 1 AS BIGINT), 2048) AS hx FROM (SELECT *, unnest(generate_series(0, CAST((length(h) // 2 - 1) // 1024 AS BIGINT))) AS i FROM h WHERE length(h) > 0)),
 c AS (SELECT CAST(length(hx) // 2 AS BIGINT) AS size, sha256(unhex(hx)) AS fp FROM x)"""
     ),
+    "chunk_cdc": f"WITH {_CDC} SELECT file_id, chunk_no, start, stop - start AS size, sha256(unhex(substr(h, 2 * start + 1, 2 * (stop - start)))) AS fp FROM c",
+    "cdc_size_histogram": f"WITH {_CDC} SELECT (stop - start) // 64 * 64 AS at_least, count(*) AS chunks, CAST(sum(stop - start) AS BIGINT) AS bytes FROM c GROUP BY 1",
     "chunk_cdc_totals": "SELECT CAST(doc_id AS VARCHAR) AS file_id, CAST(octet_length(encode(text)) AS BIGINT) AS bytes, CAST(octet_length(encode(text)) AS BIGINT) AS last_end FROM documents WHERE text <> ''",
     "fingerprints": "SELECT doc_id, sha256(encode(coalesce(text, ''))) AS sha256, sha1(encode(coalesce(text, ''))) AS sha1, md5(encode(coalesce(text, ''))) AS md5 FROM documents",
     "hmac_fingerprint": """WITH i AS (SELECT doc_id, sha256(unhex('4657454541594452' || repeat('36', 56) || hex(encode(coalesce(text, ''))))) AS inner_fp FROM documents)
@@ -84,6 +124,10 @@ FROM v WINDOW w AS (ORDER BY version ROWS UNBOUNDED PRECEDING)""",
     "base_vote": f"""WITH {_SHINGLES}, own AS (SELECT f, min(fp) AS base FROM feat WHERE version = 0 GROUP BY f),
 per AS (SELECT feat.fp, own.base, count(*) AS votes, min(feat.i) AS pos FROM feat JOIN own USING (f) WHERE feat.version > 0 GROUP BY feat.fp, own.base)
 SELECT fp, base, votes FROM (SELECT *, row_number() OVER (PARTITION BY fp ORDER BY votes DESC, pos, base DESC) AS rn FROM per) WHERE rn = 1""",
+    "base_greedy": f"WITH {_GREEDY} SELECT fp, base_fp FROM gr",
+    "similarity_keys": f"WITH {_GREEDY} SELECT fp, sha256(unhex(repeat('01', 32) || array_to_string(list_transform(fs, lambda x: {_LE}), ''))) AS seed, base IS NOT NULL AS similar FROM gr",
+    "key_index_size": f"WITH {_GREEDY} SELECT count(*) AS generated, count(base) AS similar, (count(*) - count(base)) * 120 AS key_index_bytes FROM gr",
+    "delta_roundtrip": f"WITH {_GREEDY} SELECT true AS same, count(*) AS chunks FROM gr WHERE base IS NOT NULL HAVING count(*) > 0",
     "chunk_keys": f"""WITH {C256}, k AS (SELECT *, sha256(unhex(repeat('01', 32) || fp)) AS mle, {_HALF.format('fp')} AS seed FROM c)
 SELECT file_id, chunk_no, repeat('00', 32) AS plain, mle, sha256(unhex(substr(rpad(hx, 64, '0'), 1, 64) || fp)) AS chunk_key,
        substr(mle, 1, 56) || lower(printf('%02x%02x0000', seed % 256, seed // 256)) AS elc FROM k""",
@@ -128,4 +172,6 @@ SELECT client, (SELECT 12 * count(*) FROM live l WHERE l.client = held.client) A
     "stream_version_index": f"WITH {C256}, d AS (SELECT fp, min(version) AS version, max(size) AS size FROM c GROUP BY fp) SELECT version, count(*) AS new_chunks, {_SUM} AS new_bytes FROM d GROUP BY version",
     "stream_event_windows": "SELECT date_trunc('day', ts) AS window_start, count(*) AS n_events, CAST(sum(octet_length(encode(props))) AS BIGINT) AS prop_bytes FROM events GROUP BY 1",
 }
+ORACLES |= {"pipeline_mle_fixed_counts": _received("size"), "pipeline_similar_fixed_counts": _received("16 * (size // 16 + 1)")}
+ORACLES["pipeline_full_fixed_counts"] = f"SELECT * EXCLUDE (received_bytes, sent_bytes) FROM ({_received('size')})"
 ORACLES |= {f"restore_{m}": _RESTORED for m in ("plain", "mle", "elc", "similar", "similar_comp", "full", "fixed_plain")}

@@ -223,13 +223,30 @@ def _sketched(spark: SparkSession, sf: str) -> DataFrame:
     return settle(placed.select("seq", "fp", "size", "data", hashes.super_features(F.col("data"), CFG.sketch).alias("features")), "sketched")
 
 
-@query
-def base_greedy(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _sketched(spark, sf)
+def _placed(spark: SparkSession, sf: str) -> DataFrame:
+    """Distinct chunks of 1024 bytes in order of their first place, with their features in SQL terms as longs."""
+    once = _fixed(spark, sf, 1024).groupBy("fp").agg(F.min(F.struct("version", "file_id", "chunk_no")).alias("place"), F.any_value("data").alias("data"), F.any_value("size").alias("size"))
+    placed = once.orderBy("place").withColumn("seq", F.monotonically_increasing_id())
+    longs = F.transform(hashes.shingle_features(F.col("data")), lambda f: F.conv(F.substring(f, 1, 15), 16, 10).cast("long"))
+    return settle(placed.select("seq", "fp", "size", "data", longs.alias("features")), "placed")
+
+
+def _greedy(rows: DataFrame) -> DataFrame:
     found = similarity.assign_bases(rows, CFG.greedy_rounds, CFG.group_rows)
     return found.join(rows.select("seq", "fp"), "seq").join(rows.select(F.col("seq").alias("base"), F.col("fp").alias("base_fp")), "base", "left").select("fp", "base_fp")
 
 
+@query
+def base_greedy(spark: SparkSession, sf: str) -> DataFrame:
+    return _greedy(_placed(spark, sf))
+
+
+@query
+def base_greedy_rabin(spark: SparkSession, sf: str) -> DataFrame:
+    """The bases of content-defined chunks by their Rabin super-features."""
+    return _greedy(_sketched(spark, sf))
+
+
 # keys and encryption
 
 
@@ -246,14 +263,14 @@ def chunk_keys(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def similarity_keys(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _sketched(spark, sf)
+    rows = _placed(spark, sf)
     seeds = keys.similarity_seeds(rows, CFG)
     return rows.join(seeds, "seq").select("fp", F.lower(F.hex("seed")).alias("seed"), F.col("base").isNotNull().alias("similar"))
 
 
 @query
 def key_index_size(spark: SparkSession, sf: str) -> DataFrame:
-    seeds = keys.similarity_seeds(_sketched(spark, sf), CFG)
+    seeds = keys.similarity_seeds(_placed(spark, sf), CFG)
     n, similar = F.count("*"), F.count("base")
     return seeds.agg(n.alias("generated"), similar.alias("similar"), pipelines.index_sizes(F.lit(0), n, similar)["key_index_bytes"].alias("key_index_bytes"))
 
@@ -310,8 +327,7 @@ def pad_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return rows.agg(F.count("*").alias("chunks"), _same(codecs.unpad(F.col("padded")), F.col("c.payload")).alias("same"), F.count_if(F.octet_length("padded") == size).alias("same_size"))
 
 
-def _deltas(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _sketched(spark, sf)
+def _deltas(rows: DataFrame) -> DataFrame:
     found = similarity.assign_bases(rows, CFG.greedy_rounds, CFG.group_rows).where("base is not null")
     both = found.join(rows.select("seq", "data", "size"), "seq").join(rows.select(F.col("seq").alias("base"), F.col("data").alias("base_data")), "base")
     return both.withColumn("delta", codecs.delta_encode(F.col("base_data"), F.col("data")))
@@ -319,13 +335,13 @@ def _deltas(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def delta_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _deltas(spark, sf)
+    rows = _deltas(_placed(spark, sf))
     return rows.select((F.sha2(codecs.delta_decode(F.col("base_data"), F.col("delta")), 256) == F.sha2("data", 256)).alias("same")).groupBy("same").agg(F.count("*").alias("chunks"))
 
 
 @query
 def delta_stats(spark: SparkSession, sf: str) -> DataFrame:
-    return _deltas(spark, sf).agg(F.count("*").alias("similar_chunks"), F.sum("size").cast("long").alias("bytes"), F.sum(F.octet_length("delta")).cast("long").alias("delta_bytes"))
+    return _deltas(_sketched(spark, sf)).agg(F.count("*").alias("similar_chunks"), F.sum("size").cast("long").alias("bytes"), F.sum(F.octet_length("delta")).cast("long").alias("delta_bytes"))
 
 
 # containers, recipes, restore
@@ -396,6 +412,21 @@ def pipeline_plain_fixed_counts(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("client", "version", "logical_chunks", "logical_bytes", "files", "unique_chunks", "unique_bytes")
 
 
+def _counts(method: str) -> Query:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        cfg = ReductionConfig(chunker="fixed")
+        found = pipelines.stats(pipelines.upload(_objects(spark, sf), method, cfg), ("client", "version"))
+        received = [] if method == "full" else ["received_bytes", "sent_bytes"]
+        return found.select("client", "version", "logical_chunks", "logical_bytes", "files", "unique_chunks", *received)
+
+    run.__doc__ = "Chunks and bytes by client and version, as they come and as the server receives them."
+    return run
+
+
+for _m in ("mle", "similar", "full"):
+    QUERIES[f"pipeline_{_m}_fixed_counts"] = _counts(_m)
+
+
 @query
 def pipeline_full_by_version(spark: SparkSession, sf: str) -> DataFrame:
     found = pipelines.stats(pipelines.upload(_objects(spark, sf), "full", CFG), ("version",))
