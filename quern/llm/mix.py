@@ -42,7 +42,7 @@ class MixParams:
     weights: tuple[int, ...] = (5, 2, 1)
     most: int = 3
     seed: str = "mix"
-    buckets: int = 4096
+    buckets: int = 512
     steps: int = 16  # size classes a doubling
 
 
