@@ -87,9 +87,11 @@ def shingle_features(data: Column, supers: int = 3, groups: int = 4, width: int
         hashes = F.transform(F.sequence(F.lit(0), length - width), lambda j: F.md5(F.substring(data, start + j + 1, F.lit(width))))
         return F.when(length >= width, F.array_max(hashes)).otherwise(F.lit(""))
 
+    once = lambda value, f: F.element_at(F.transform(F.array(value), f), 1)  # noqa: E731  a lambda's argument is computed once
     peaks = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), peak)
-    ranked = F.transform(F.sequence(F.lit(0), F.lit(groups - 1)), lambda g: F.reverse(F.sort_array(F.slice(peaks, g * supers + 1, F.lit(supers)))))
-    return F.transform(F.sequence(F.lit(1), F.lit(supers)), lambda i: F.md5(F.encode(F.array_join(F.transform(ranked, lambda r: F.element_at(r, i)), ""), "UTF-8")))
+    ranked = lambda p: F.transform(F.sequence(F.lit(0), F.lit(groups - 1)), lambda g: F.reverse(F.sort_array(F.slice(p, g * supers + 1, F.lit(supers)))))
+    row = lambda r, i: F.md5(F.encode(F.array_join(F.transform(r, lambda x: F.element_at(x, i)), ""), "UTF-8"))
+    return once(peaks, lambda p: once(ranked(p), lambda r: F.transform(F.sequence(F.lit(1), F.lit(supers)), lambda i: row(r, i))))
 
 
 def div_ceil(a: Column, b: Column) -> Column:

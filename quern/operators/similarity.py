@@ -50,13 +50,17 @@ def greedy_bases(chunks: DataFrame, rounds: int = 8, group_rows: int = 100_000,
     """(key, is_base) of every chunk; key is a long that gives the order, one row a key.
 
     A round makes bases of the undecided chunks that come first at every feature of theirs, and similar
-    ones of those that share a feature with a base. Each round decides the first chunk left at least."""
+    ones of those that share a feature with a base. Each round decides the first chunk left at least.
+    As soon as at most group_rows chunks are left, one task walks them: none shares a feature with a base so far."""
     spark = chunks.sparkSession
     ship(spark)
     left = settle(chunks.select(F.col(key).cast("long").alias("seq"), F.array_distinct(features).alias("features")), "undecided")
     decided = []
     turn = 0
-    while not left.isEmpty():
+    while many := left.count():
+        if many <= group_rows:
+            decided.append(settle(left.withColumn("root", F.lit(0)).groupBy("root").applyInPandas(_walk_rows, "seq long, is_base boolean"), "walked"))
+            break
         if turn and turn % rounds == 0:
             local = _by_component(left, group_rows)
             if local is not None:
@@ -94,12 +98,12 @@ def _by_component(left: DataFrame, group_rows: int) -> DataFrame | None:
         return None
     of = left.join(roots.select(F.col("node").alias("seq"), "root"), "seq", "left").withColumn("root", F.coalesce("root", "seq"))
     small = of.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") <= group_rows).select("root")
+    return of.join(small, "root", "left_semi").groupBy("root").applyInPandas(_walk_rows, "seq long, is_base boolean")
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        done = _walk([(s, tuple(f)) for s, f in zip(pdf["seq"], pdf["features"], strict=True)])
-        return pd.DataFrame(done, columns=["seq", "is_base"])
 
-    return of.join(small, "root", "left_semi").groupBy("root").applyInPandas(walk, "seq long, is_base boolean")
+def _walk_rows(pdf: pd.DataFrame) -> pd.DataFrame:
+    done = _walk([(s, tuple(f)) for s, f in zip(pdf["seq"], pdf["features"], strict=True)])
+    return pd.DataFrame(done, columns=["seq", "is_base"])
 
 
 def assign_bases(chunks: DataFrame, rounds: int = 8, group_rows: int = 100_000, key: str = "seq", features: str = "features") -> DataFrame:

@@ -51,6 +51,11 @@ def fresh(name: str, taken: Iterable[str]) -> str:
     return name
 
 
+def drop_scratch(spark: SparkSession) -> None:
+    """Remove what settle() has written so far: for long sessions, between jobs whose results are no longer read."""
+    _remove(spark, scratch_dir(spark))
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
