@@ -42,7 +42,7 @@ class NearDupParams:
     percent: int = 85
     bands: int = 48
     rows: int = 7
-    block: int = 512  # classes that one verifying task compares with each other
+    block: int = 128  # classes that one verifying task compares with each other
     block_shingles: int = 4_000_000
 
 
