@@ -129,7 +129,8 @@ def test_window_queries_have_whole_features(spark, tmp_path):
 
 
 def test_queries_take_every_version_of_the_table(spark, tmp_path):
-    rows = [(0, "src0", "first text"), (1, "src7", "second text"), (2, "src27", "third text"), (3, "src27", "first text")]
+    first, second, third = ("".join(random.Random(i).choices("abcdefghij", k=80)) for i in range(3))  # long enough to share no feature
+    rows = [(0, "src0", first), (1, "src7", second), (2, "src27", third), (3, "src27", first)]
     spark.createDataFrame([(i, t, "en", s) for i, s, t in rows], "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
     run = lambda name: QUERIES[name](spark, str(tmp_path)).collect()
     assert run("stream_unique_chunks")[0]["unique_chunks"] == 3
