@@ -90,7 +90,7 @@ def sketch(sets: list[np.ndarray], t: int) -> np.ndarray:
     none = U64(0xFFFFFFFFFFFFFFFF)
     out = np.full(n * t, none, U64)
     active = np.arange(n)
-    sizes = np.array([len(s) for s in sets])
+    sizes = np.array([len(s) for s in sets], np.int64)
     flat = np.concatenate(sets) if n else np.empty(0, U64)
     owner = np.repeat(np.arange(n), sizes)
     with np.errstate(over="ignore"):

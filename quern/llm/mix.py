@@ -12,8 +12,8 @@ taken: the documents of the least Q, their random odds u / (1 - u) over their in
 a hash of id and size. The numbers come by classes, the largest first: c is what is left of the words over the
 sum of m * words of this class and those below; the sum of the class's p is rounded up or down at random, so
 that it is right on average; and what was taken leaves the words for the classes below, whose documents are
-smaller and even out what the larger ones rounded. A class takes no more than fits the words left, and the
-smallest class rounds to the nearest.
+smaller and even out what the larger ones rounded. A class takes no more than fits the words left, and
+not so few that the classes below can't hold the rest, each to the nearest document.
 
 Ranks are never sorted as a whole: Q / (1 + Q) is cut into buckets, whose counts locate the bucket in which a
 class's number is reached, and only that bucket is sorted. The classes of a source are some hundreds, whatever
@@ -84,16 +84,16 @@ def size_class(measure: Column, steps: int) -> Column:
 def numbers(classes: DataFrame, shares: DataFrame, p: MixParams) -> DataFrame:
     """(src, cls, whole, target, source_size, n, c, take): how many of each class are taken beside whole copies, and c = p / m."""
     below = Window.partitionBy("src").orderBy("cls").rowsBetween(Window.unboundedPreceding, 0)
-    one = classes.select("src", "cls", "n", F.col("m").cast("double").alias("m"), F.col("mw").cast("double").alias("mw"), F.sum("mw").over(below).cast("double").alias("b"), uniform(p.seed, F.col("src"), F.col("cls")).alias("u"))
-    per = one.groupBy("src").agg(F.sort_array(F.collect_list(F.struct("cls", "n", "m", "mw", "b", "u")), asc=False).alias("classes")).join(shares, "src")
+    one = classes.select("src", "cls", "n", F.col("m").cast("double").alias("m"), F.col("mw").cast("double").alias("mw"), F.sum("mw").over(below).cast("double").alias("b"), (F.sum("words").over(below) - F.col("words")).cast("double").alias("w"), uniform(p.seed, F.col("src"), F.col("cls")).alias("u"))
+    per = one.groupBy("src").agg(F.sort_array(F.collect_list(F.struct("cls", "n", "m", "mw", "b", "w", "u")), asc=False).alias("classes")).join(shares, "src")
     none = F.array().cast("array<struct<cls:int,n:bigint,c:double,take:bigint>>")
 
     def step(s: Column, x: Column) -> Column:
         c = F.when((x["b"] > 0) & (s["r"] > 0), s["r"] / x["b"]).otherwise(0.0)
         mean = x["mw"] / x["m"]
-        last = x["b"] == x["mw"]
-        u, most = F.when(last, 0.5).otherwise(x["u"]), F.floor(s["r"] / mean + F.when(last, 0.5).otherwise(0.0))
-        least = F.least(F.floor(F.least(x["n"].cast("double"), c * x["m"]) + u), most).cast("long")
+        drawn = F.floor(F.least(x["n"].cast("double"), c * x["m"]) + x["u"])
+        enough = F.floor((s["r"] - x["w"]) / mean + 0.5)  # fewer would leave more than the classes below hold
+        least = F.least(x["n"].cast("double"), F.greatest(F.least(drawn, F.floor(s["r"] / mean)), enough)).cast("long")
         take = F.when(c > 0, least).otherwise(F.lit(0).cast("long"))
         left = F.when(take > 0, s["r"] - take * mean).otherwise(s["r"])
         return F.struct(left.alias("r"), F.concat(s["out"], F.array(F.struct(x["cls"].alias("cls"), x["n"].alias("n"), c.alias("c"), take.alias("take")))).alias("out"))

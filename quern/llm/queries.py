@@ -154,15 +154,15 @@ lev AS (
 tgt AS (SELECT *, least(cap, coalesce(w * max(CASE WHEN cap / w > level THEN level END) OVER (), cap)) AS target FROM lev),
 sh AS (SELECT source, source_size, target, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM tgt),
 shares AS (SELECT *, target - whole * source_size AS rem FROM sh),
-cl AS (SELECT source, cls, count(*) AS n, CAST(sum(size) AS DOUBLE) AS m, sum(size * size) AS mw FROM rnd GROUP BY source, cls),
+cl AS (SELECT source, cls, count(*) AS n, sum(size) AS words, CAST(sum(size) AS DOUBLE) AS m, sum(size * size) AS mw FROM rnd GROUP BY source, cls),
 walk AS (
-  SELECT source, cls, n, m, CAST(mw AS DOUBLE) AS mw, CAST(sum(mw) OVER (PARTITION BY source ORDER BY cls) AS DOUBLE) AS b, row_number() OVER (PARTITION BY source ORDER BY cls DESC) AS k,
+  SELECT source, cls, n, m, CAST(mw AS DOUBLE) AS mw, CAST(sum(words) OVER (PARTITION BY source ORDER BY cls) - words AS DOUBLE) AS w, CAST(sum(mw) OVER (PARTITION BY source ORDER BY cls) AS DOUBLE) AS b, row_number() OVER (PARTITION BY source ORDER BY cls DESC) AS k,
          (CAST(CAST('0x' || substr(md5('mix|' || CASE WHEN source IS NULL THEN '-' ELSE '+' || source END || '|' || CAST(cls AS VARCHAR)), 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496.0 AS u FROM cl),
 fold AS (
   SELECT source, CAST(0 AS BIGINT) AS k, CAST(-1 AS INT) AS cls, 0.0::DOUBLE AS c, CAST(0 AS BIGINT) AS take, rem AS r FROM shares
   UNION ALL
   SELECT source, k, cls, c, take, CASE WHEN take > 0 THEN r - take * (mw / m) ELSE r END FROM (
-    SELECT *, CASE WHEN c > 0 THEN CAST(least(floor(least(CAST(n AS DOUBLE), c * m) + CASE WHEN b = mw THEN 0.5::DOUBLE ELSE u END), floor(r / (mw / m) + CASE WHEN b = mw THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END)) AS BIGINT) ELSE 0 END AS take FROM (
+    SELECT *, CASE WHEN c > 0 THEN CAST(least(CAST(n AS DOUBLE), greatest(least(floor(least(CAST(n AS DOUBLE), c * m) + u), floor(r / (mw / m))), floor((r - w) / (mw / m) + 0.5::DOUBLE))) AS BIGINT) ELSE 0 END AS take FROM (
       SELECT w.*, f.r, CASE WHEN w.b > 0 AND f.r > 0 THEN f.r / w.b ELSE 0.0::DOUBLE END AS c
       FROM fold f JOIN walk w ON f.source IS NOT DISTINCT FROM w.source AND w.k = f.k + 1))),
 ranked AS (

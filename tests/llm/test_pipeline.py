@@ -69,3 +69,26 @@ def test_empty_corpus(spark, corpus):
 def test_five_stages_in_order():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "decontamination", "mixing", "sharding"]
     assert shard.MULTIPLIER % 2
+
+
+def test_odd_rows_go_through(spark, tmp_path):
+    """Nulls, blanks, a very long text, repeats, null ids and columns with the names that operators use."""
+    d = str(tmp_path)
+    rows = [(1, None, "a"), (2, "", None), (3, " \n\t", "a"), (None, "a text without an id at all", "b"), (None, "a text without an id at all", "b"), (4, " ".join(f"w{i}" for i in range(40_000)), "b")]
+    rows += [(5, "the same seven words in three rows", "a"), (5, "the same seven words in three rows", "a"), (6, "the same seven words in three rows", None), (7, "ünï cödé \U0001f600 text that stands alone", "")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, shard string, rk string, _copies int, size int"
+    full = [(i, t, "en", s, 0, "x", "y", 1, 2) for i, t, s in rows]
+    docs = spark.createDataFrame(full, schema)
+    docs.write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    runs = [corpus_pipeline.run(spark, d) for _ in range(2)]
+    assert [sorted(c) for c in (r.columns for r in runs)] == [sorted(docs.columns)] * 2
+    one, two = (Counter((r["doc_id"], r["text"], r["shard"]) for r in x.collect()) for x in runs)
+    assert one == two and {(i, t) for i, t, _ in one} <= {(i, t) for i, t, _ in rows if i != 6}
+    assert all(0 <= s < 16 for _, _, s in one) and max(one.values()) <= 3 and any(i == 4 for i, _, _ in one)
+    kept = docs
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        kept = stage(spark, kept, d)
+        assert kept.columns == docs.columns
+    assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == Counter({(i, t): 1 for i, t, _ in rows if i != 6})
