@@ -1,7 +1,15 @@
 """The corpus pipeline: documents through five stages, each written as Parquet and read again by the next.
 
 quality classifier -> near-duplicates -> benchmark decontamination -> mixing -> sharding. Every stage but the
-last returns the columns of documents; the last adds the shard. Empty tables pass through as empty tables.
+last returns the columns of documents; the last adds the shard.
+
+Cases: null and blank texts have no feature, shingle or benchmark item: the classifier's bias decides on them,
+they are nobody's copy, and they have no words to mix (their copies are the whole ones of their source); very
+long texts go through whole; of repeated rows, and of rows that share an id and a text, one is left by the
+near-duplicate stage; equal scores, sizes and ranks are settled by values of the rows, so that reruns agree; a
+null id is a document like any other; without labels every score is 0.5 and all documents stay; without
+benchmark items none goes; empty tables pass through as empty tables; extra columns are kept, but for one named
+shard, whose place the last stage's takes.
 """
 
 from __future__ import annotations
