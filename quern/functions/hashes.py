@@ -69,7 +69,8 @@ def super_features(data: Column, p: SketchParams) -> Column:
     @F.pandas_udf(T.ArrayType(T.LongType()))
     def kernel(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
-            yield s.map(lambda b: None if b is None else _features.signed(_features.super_features(b, p)))
+            found = iter(_features.super_features([b for b in s if b is not None], p))
+            yield s.map(lambda b: None if b is None else _features.signed(next(found)))
 
     return kernel(data)
 

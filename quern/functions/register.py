@@ -24,7 +24,7 @@ def register(spark: SparkSession, cfg: ReductionConfig = ReductionConfig(), pref
 
     @F.pandas_udf(T.ArrayType(T.LongType()))
     def super_features(s: pd.Series) -> pd.Series:
-        return s.map(lambda b: None if b is None else features.signed(features.super_features(b, cfg.sketch)))
+        return s.map(lambda b: None if b is None else features.signed(features.super_features([b], cfg.sketch)[0]))
 
     @F.pandas_udf(T.BinaryType())
     def compress(s: pd.Series) -> pd.Series:

@@ -1,4 +1,4 @@
-"""Rabin rolling fingerprints and super-features of chunks, with numpy."""
+"""Rabin rolling fingerprints and super-features of chunks, many chunks at once in numpy."""
 
 from __future__ import annotations
 
@@ -38,32 +38,59 @@ def window_tables(window: int, poly: int) -> np.ndarray:
     return out
 
 
-def rolling(rows: np.ndarray, p: SketchParams) -> np.ndarray:
-    """Fingerprints after every byte of each row (rows, bytes); a row starts from an empty window."""
-    tables = window_tables(p.window, p.polynomial)
-    fp = tables[0][rows]
-    for k in range(1, min(p.window, rows.shape[1])):
-        fp[:, k:] ^= tables[k][rows[:, :-k]]
+@lru_cache(4)
+def pair_tables(window: int, poly: int) -> np.ndarray:
+    """(pairs, 65536): two bytes at once, the nearer one in the low half; a byte of 0 adds nothing."""
+    one = np.vstack([window_tables(window, poly), np.zeros((window % 2, 256), U64)])
+    return (one[0::2, None, :] ^ one[1::2, :, None]).reshape(-1, 1 << 16)
+
+
+#: Bytes whose fingerprints are found at once: their arrays stay in a core's cache.
+BLOCK = 1 << 16
+
+
+def rolling(raw: np.ndarray, place: np.ndarray, p: SketchParams) -> np.ndarray:
+    """Fingerprints after every byte; place tells how far a byte is behind the start of its window's run."""
+    tables = pair_tables(p.window, p.polynomial)
+    words = raw.astype(np.uint16)
+    words[1:] |= np.where(place[1:] > 0, raw[:-1], 0).astype(np.uint16) << 8
+    fp = tables[0][words]
+    for k in range(2, min(p.window, int(place.max()) + 1), 2):
+        fp[k:] ^= tables[k // 2][np.where(place[k:] >= k, words[:-k], 0)]
     return fp
 
 
-def subchunk_peaks(data: bytes, p: SketchParams) -> np.ndarray:
-    """The largest fingerprint of each sub-chunk; the last sub-chunk takes the remainder, empty ones give 0."""
+def subchunk_peaks(chunks: list[bytes], p: SketchParams) -> np.ndarray:
+    """(chunks, sub-chunks): each sub-chunk's largest fingerprint; the last one takes the remainder, empty ones give 0."""
     n = p.subchunks
-    raw = np.frombuffer(data, np.uint8)
-    size = len(raw) // n
-    peaks = np.zeros(n, U64)
-    if size:
-        peaks[: n - 1] = rolling(raw[: (n - 1) * size].reshape(n - 1, size), p).max(axis=1)
-    if len(tail := raw[(n - 1) * size :]):
-        peaks[n - 1] = rolling(tail[None, :], p).max()
-    return peaks
-
-
-def super_features(data: bytes, p: SketchParams) -> list[int]:
-    """p.supers unsigned 64-bit values: the i-th largest peak of every group, hashed together by XXH64 (seed 0)."""
-    groups = np.sort(subchunk_peaks(data, p).reshape(p.groups, p.supers), axis=1)[:, ::-1]
-    return [xxhash.xxh64_intdigest(np.ascontiguousarray(groups[:, i]).astype("<u8").tobytes(), 0) for i in range(p.supers)]
+    sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
+    lengths = np.repeat(sizes[:, None] // n, n, axis=1)
+    lengths[:, -1] += sizes % n
+    flat = lengths.ravel()
+    peaks = np.zeros(len(flat), U64)
+    if raw := b"".join(chunks):
+        starts = np.cumsum(flat) - flat
+        some = np.flatnonzero(flat)
+        place = np.arange(len(raw)) - np.repeat(starts, flat)
+        peaks[some] = np.maximum.reduceat(rolling(np.frombuffer(raw, np.uint8), place, p), starts[some])
+    return peaks.reshape(-1, n)
+
+
+def super_features(chunks: list[bytes], p: SketchParams) -> list[list[int]]:
+    """p.supers unsigned 64-bit values a chunk: the i-th largest peak of every group, hashed together by XXH64 (seed 0)."""
+    out: list[list[int]] = []
+    begun = held = 0
+    for i, chunk in enumerate(chunks):
+        held += len(chunk)
+        if held < BLOCK and i + 1 < len(chunks):
+            continue
+        groups = np.sort(subchunk_peaks(chunks[begun : i + 1], p).reshape(-1, p.groups, p.supers), axis=2)[:, :, ::-1]
+        rows = groups.transpose(0, 2, 1).astype("<u8").tobytes()
+        wide = p.groups * 8
+        values = [xxhash.xxh64_intdigest(rows[at : at + wide], 0) for at in range(0, len(rows), wide)]
+        out.extend(values[at : at + p.supers] for at in range(0, len(values), p.supers))
+        begun, held = i + 1, 0
+    return out
 
 
 def signed(values: list[int]) -> list[int]:

@@ -76,7 +76,7 @@ def polynomial_mod(v: int, poly: int) -> int:
 def test_rolling_fingerprint_is_the_window_modulo_the_polynomial():
     p = SketchParams()
     data = random.Random(2).randbytes(150)
-    got = features.rolling(np.frombuffer(data, np.uint8)[None, :], p)[0]
+    got = features.rolling(np.frombuffer(data, np.uint8), np.arange(150), p)
     for j in range(len(data)):
         assert int(got[j]) == polynomial_mod(int.from_bytes(data[max(0, j - 47) : j + 1], "big"), p.polynomial)
 
@@ -91,7 +91,17 @@ def test_super_features_by_hand(n):
         peaks.append(max([polynomial_mod(int.from_bytes(sub[max(0, j - 47) : j + 1], "big"), p.polynomial) for j in range(len(sub))], default=0))
     groups = [sorted(peaks[3 * g : 3 * g + 3], reverse=True) for g in range(4)]
     want = [xxhash.xxh64_intdigest(b"".join(groups[g][i].to_bytes(8, "little") for g in range(4)), 0) for i in range(3)]
-    assert features.super_features(data, p) == want
+    other = [random.Random(i).randbytes(i * 37 % 1500) for i in range(300)]
+    assert features.super_features([data, *other, b"", data], p) == [want, *[features.super_features([o], p)[0] for o in other], features.super_features([b""], p)[0], want]
+
+
+@pytest.mark.parametrize("window", [1, 2, 7, 48])
+def test_fingerprints_of_odd_and_even_windows(window):
+    p = SketchParams(window=window)
+    runs = [random.Random(window + i).randbytes(i) for i in range(1, 70, 9)]
+    got = features.rolling(np.frombuffer(b"".join(runs), np.uint8), np.concatenate([np.arange(len(r)) for r in runs]), p)
+    want = [polynomial_mod(int.from_bytes(r[max(0, j + 1 - window) : j + 1], "big"), p.polynomial) for r in runs for j in range(len(r))]
+    assert [int(v) for v in got] == want
 
 
 @settings(max_examples=150, deadline=None)
