@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from quern.config import ChunkParams, ReductionConfig
 from quern.kernels import cdc
 from quern.ship import ship
-from quern.tables import fresh
+from quern.tables import fresh, once, spread
 
 
 #: Columns that a chunk has besides those of its object; an object's columns of these names give way.
@@ -45,7 +45,7 @@ def content_defined(objects: DataFrame, p: ChunkParams = ChunkParams(), content:
     """Chunks at content-defined cut points: Python finds the offsets, Catalyst cuts the bytes."""
     ship(objects.sparkSession)
     ends = fresh("_ends", objects.columns)
-    found = objects.where(F.octet_length(content) > 0).withColumn(ends, cut_points(F.col(content), p))
+    found = spread(objects.where(F.octet_length(content) > 0)).withColumn(ends, cut_points(F.col(content), p))
     starts = F.concat(F.array(F.lit(0)), F.slice(ends, 1, F.size(ends) - 1))
     return _cut(found, objects, content, F.arrays_zip(starts.alias("a"), F.col(ends).alias("b")))
 
@@ -54,8 +54,8 @@ def _cut(rows: DataFrame, objects: DataFrame, content: str, places: Column) -> D
     """A row for each place (a, b) of a row's content. The bytes are cut inside the array that is exploded: exploding
     places beside the content would copy the whole content onto each of its chunks."""
     keep = [c for c in objects.columns if c.lower() not in (content.lower(), *COLUMNS)]
-    data = lambda x: F.substring(F.col(content), (x["a"] + 1).cast("int"), (x["b"] - x["a"]).cast("int"))
-    pieces = F.transform(places, lambda x: F.struct(x["a"].cast("long").alias("start"), (x["b"] - x["a"]).cast("int").alias("size"), data(x).alias("data")))
+    data = lambda c, x: F.substring(c, (x["a"] + 1).cast("int"), (x["b"] - x["a"]).cast("int"))
+    pieces = once(F.col(content), lambda c: F.transform(places, lambda x: F.struct(x["a"].cast("long").alias("start"), (x["b"] - x["a"]).cast("int").alias("size"), data(c, x).alias("data"))))
     at, piece = fresh("_at", keep), fresh("_piece", keep)
     return rows.select(*keep, F.posexplode(pieces).alias(at, piece)).select(*keep, F.col(at).cast("long").alias("chunk_no"), f"{piece}.start", f"{piece}.size", f"{piece}.data")
 

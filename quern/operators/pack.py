@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.hashes import container_name
 from quern.ship import ship
+from quern.tables import once
 
 _PLACES = "client string, seq long, container_no long, at long"
 
@@ -72,6 +73,6 @@ def fetch(addr: DataFrame, containers: DataFrame, payload: str = "payload") -> D
     A container is joined once, to all its addresses, and cut inside the array that is exploded: a body beside
     each address would be copied for every chunk. A container has a bounded number of addresses."""
     places = addr.groupBy("container_id").agg(F.collect_list(F.struct(*addr.columns)).alias("places"))
-    cut = lambda p: F.substring(F.col("body"), (p["offset"] + 1).cast("int"), p["length"].cast("int"))
-    pieces = F.transform("places", lambda p: F.struct(*[p[c].alias(c) for c in addr.columns], cut(p).alias(payload)))
+    cut = lambda b, p: F.substring(b, (p["offset"] + 1).cast("int"), p["length"].cast("int"))
+    pieces = once(F.col("body"), lambda b: F.transform("places", lambda p: F.struct(*[p[c].alias(c) for c in addr.columns], cut(b, p).alias(payload))))
     return places.join(containers.select("container_id", "body"), "container_id").select(F.inline(pieces))

@@ -2,13 +2,15 @@
 
 plain, mle (message-locked encryption), elc (compression under encryption), similar (similarity-aware keys,
 two-phase encryption), similar_comp (the same over padded compression), full (selective compression by the
-client's version window). Chunks get a place (seq) in the order of version, file and number; joins between
+client's version window). An object is named by client, version and file. Chunks get a place (seq) in the order of
+version, file, client and number, with gaps between objects; joins between
 steps carry places, fingerprints and features, and payloads are joined where bytes are needed.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,7 +22,7 @@ from quern.operators.chunk import chunk
 from quern.operators.similarity import assign_bases
 from quern.operators.versions import window_similarity
 from quern.ship import ship
-from quern.tables import hot_join, settle
+from quern.tables import hot_join, numbered, settle, spread
 
 METHODS = ("plain", "mle", "elc", "similar", "similar_comp", "full")
 
@@ -42,9 +44,13 @@ class ReductionResult:
 
 def _sequenced(objects: DataFrame, cfg: ReductionConfig) -> DataFrame:
     parts = ["part"] if "part" in objects.columns else []
-    chunks = chunk(objects.select("client", "version", "file_id", *parts, "content"), cfg)
-    rows = chunks.withColumn("fp", F.sha2("data", 256)).orderBy("version", "file_id", "chunk_no")
-    return settle(rows.withColumn("seq", F.monotonically_increasing_id()), "chunks")
+    # objects are numbered by their names alone, and chunks within them: no sort carries a payload
+    name = ["version", "file_id", "client"]
+    order = numbered(objects.select(*name).distinct(), name, "_no").select(*[F.col(c).alias(f"_{c}") for c in name], "_no")
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in name])
+    placed = spread(objects.select(*name, *parts, "content")).join(order, same).drop(*[f"_{c}" for c in name])
+    rows = chunk(placed, cfg).withColumn("fp", F.sha2("data", 256)).withColumn("seq", F.shiftleft("_no", 32) + F.col("chunk_no"))
+    return settle(rows.select("client", "version", "file_id", "chunk_no", "start", "size", "data", "fp", "seq"), "chunks")
 
 
 def _most(cfg: ReductionConfig) -> int:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -68,6 +68,22 @@ def settle(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of value, which is read from its row once: a lambda that names a binary column copies it at each element."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, if it is so small that its files make fewer splits; a large table stays where it is."""
+    spark = df.sparkSession
+    if df.isStreaming:
+        return df
+    cores = spark.sparkContext.defaultParallelism
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    small = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < cores * split // 4
+    return df.repartition(cores) if small else df
+
+
 def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """df with a gapless number from 0 in the order given: sorted in ranges, each range counted, no single task over all."""
     rows = settle(df.orderBy(*order).withColumn("_id", F.monotonically_increasing_id()), "sorted").withColumn("_range", F.shiftrightunsigned("_id", 33))

@@ -45,6 +45,19 @@ def test_cut_points_follow_the_rule(data):
         assert sum(sizes) == len(data) and all(0 < s <= p.most for s in sizes)
 
 
+@pytest.mark.parametrize("p", [ChunkParams(), BACKUP, ChunkParams(1, 64, 4000), ChunkParams(64, 1024, 200_000)])
+def test_cut_points_of_long_and_monotonous_data(p, monkeypatch):
+    rng = random.Random(5)
+    runs = b"".join(bytes([b]) * 700 for b in range(256))  # a run's hash comes as near as can be to the next whole number
+    for data in (rng.randbytes(400_000), runs, bytes(50_000), b"ab" * 20_000 + rng.randbytes(3000), bytes(rng.choices(b"ab", k=30_000))):
+        want = slow_cuts(data, p)
+        assert cdc.cuts(data, p) == want
+        with monkeypatch.context() as m:
+            m.setattr(cdc, "UNSURE", np.uint64(1 << 31))  # half of all places are worked out byte by byte
+            m.setattr(cdc, "BLOCK", 1000)
+            assert cdc.cuts(data, p) == want
+
+
 @pytest.mark.parametrize("n", [0, 1, 63, 64, 65, 255, 1023, 1024, 1025])
 def test_cut_point_bounds(n):
     for data in (bytes(n), b"ab" * (n // 2) + b"a" * (n % 2), os.urandom(n)):
