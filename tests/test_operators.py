@@ -198,6 +198,15 @@ def test_restore_is_byte_exact(spark, method):
     assert all(r["base_fp"] in bases for r in result.addr.where("kind in ('delta', 'twin_delta')").collect())
 
 
+def test_short_chunks_with_equal_ciphers_stay_apart(spark):
+    """Ciphers of mle are as short as their chunks: of all single bytes some meet, and they are different chunks nevertheless."""
+    rows = [("a", i % 2, f"f{i}", bytes([i])) for i in range(256)] + [("b", 1, "again", b"a")]
+    result = pipelines.upload(objects_of(spark, rows), "mle")
+    s = pipelines.stats(result).first()
+    assert (s["logical_chunks"], s["unique_chunks"], s["received_bytes"]) == (257, 256, 257)
+    assert {(r["client"], r["file_id"]): bytes(r["content"]) for r in pipelines.restore(result).collect()} == {(c, f): b for c, _, f, b in rows}
+
+
 def test_restore_several_clients_and_versions(spark, tmp_path):
     rows = [(c, v, f"{c}/{v}/{f}", b) for c, v, f, b in versions_of(random.Random(7))]
     for method in ("plain", "full"):
