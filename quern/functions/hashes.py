@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
 import pandas as pd
 import xxhash
@@ -67,10 +66,9 @@ def super_features(data: Column, p: SketchParams) -> Column:
     """array<long> of p.supers Rabin super-features."""
 
     @F.pandas_udf(T.ArrayType(T.LongType()))
-    def kernel(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            found = iter(_features.super_features([b for b in s if b is not None], p))
-            yield s.map(lambda b: None if b is None else _features.signed(next(found)))
+    def kernel(s: pd.Series) -> pd.Series:  # not of iterators: Spark can't plan those over ciphers made in the same step
+        found = iter(_features.super_features([b for b in s if b is not None], p))
+        return s.map(lambda b: None if b is None else _features.signed(next(found)))
 
     return kernel(data)
 

@@ -32,11 +32,13 @@ def decompress(payload: Column, packed: Column, kind: str = "zstd") -> Column:
 
 
 def pad(payload: Column, original: Column, seed: Column, most: int = 255, salt: bytes = b"") -> Column:
-    """Padded up to `original` bytes: the chunk's size, or the largest chunk's for a limit that doesn't depend on the chunk."""
+    """Padded up to `original` bytes: the chunk's size, or the largest chunk's for a limit that doesn't depend on the chunk.
+
+    seed: a number, or a binary digest, whose bytes are added up."""
 
     @F.pandas_udf(T.BinaryType())
     def kernel(s: pd.Series, n: pd.Series, seeds: pd.Series) -> pd.Series:
-        return pd.Series([None if b is None else codec.pad(b, int(k), int(x), most, salt) for b, k, x in zip(s, n, seeds, strict=True)], dtype=object)
+        return pd.Series([None if b is None else codec.pad(b, int(k), sum(x) if isinstance(x, bytes | bytearray) else int(x), most, salt) for b, k, x in zip(s, n, seeds, strict=True)], dtype=object)
 
     return kernel(payload, original, seed)
 

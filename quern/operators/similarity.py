@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.ship import ship
-from quern.tables import components, settle
+from quern.tables import components, release, settle
 
 
 def vote(chunks: DataFrame, owners: DataFrame, key: str, features: str = "features") -> DataFrame:
@@ -66,7 +66,8 @@ def greedy_bases(chunks: DataFrame, rounds: int = 8, group_rows: int = 100_000,
             if local is not None:
                 done = settle(local, "walked")
                 decided.append(done)
-                left = settle(left.join(done.select("seq"), "seq", "left_anti"), "undecided")
+                was, left = left, settle(left.join(done.select("seq"), "seq", "left_anti"), "undecided")
+                release(was)
                 turn += 1
                 continue
         turn += 1
@@ -80,7 +81,8 @@ def greedy_bases(chunks: DataFrame, rounds: int = 8, group_rows: int = 100_000,
         now = bases.select("seq", F.lit(True).alias("is_base")).unionByName(lone.withColumn("is_base", F.lit(True))).unionByName(similar.withColumn("is_base", F.lit(False)))
         now = settle(now, "decided")
         decided.append(now)
-        left = settle(left.join(now.select("seq"), "seq", "left_anti"), "undecided")
+        was, left = left, settle(left.join(now.select("seq"), "seq", "left_anti"), "undecided")
+        release(was, bases)
     if not decided:
         return spark.createDataFrame([], "seq long, is_base boolean")
     out = decided[0]

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.operators.similarity import assign_bases
-from quern.tables import settle
+from quern.tables import release, settle, settle_only
 
 
 def live_features(touches: DataFrame, current: int, keep: int = 1) -> DataFrame:
@@ -44,13 +44,13 @@ def window_similarity(chunks: DataFrame, keep: int = 1, rounds: int = 8, group_r
     tagged = F.transform("features", lambda f: F.xxhash64("client", f))
     rows = settle(chunks.select("seq", "client", "version", tagged.alias("features")), "window")
     index = spark.createDataFrame([], INDEX) if index is None else index
-    out = None
+    out = own = None
     for v in [r[0] for r in rows.select("version").distinct().orderBy("version").collect()]:
         now = rows.where(F.col("version") == v)
         each = now.select("seq", F.explode("features").alias("feature"))
         held = settle(each.join(index.select("feature"), "feature", "left_semi").select("seq").distinct(), "held")
         fresh = now.join(held, "seq", "left_anti").select("seq", "features")
-        made = settle(assign_bases(fresh, rounds, group_rows), "made")
+        made = settle_only(lambda fresh=fresh: assign_bases(fresh, rounds, group_rows), "made")
         new = fresh.join(made.where("base is null").select("seq"), "seq").select(F.explode(F.array_distinct("features")).alias("feature"), F.col("seq").alias("base"))
         owners = settle(index.select("feature", "base").unionByName(new), "owners")
         voters = held.unionByName(made.where("base is not null").select("seq"))
@@ -63,4 +63,6 @@ def window_similarity(chunks: DataFrame, keep: int = 1, rounds: int = 8, group_r
         aged = owners.join(index.select("feature", "last"), "feature", "left").join(touched, "feature", "left")
         aged = aged.select("feature", "base", F.when(F.col("_now"), F.lit(v)).otherwise(F.col("last")).cast("int").alias("last"))
         index = settle(aged.where(F.lit(v) - F.col("last") < keep), "index")
+        release(held, made, owners, *([own] if own is not None else []))  # not the index of an earlier call
+        own = index
     return out if out is not None else spark.createDataFrame([], "seq long, base long"), index

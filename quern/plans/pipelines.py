@@ -22,7 +22,7 @@ from quern.operators.chunk import chunk
 from quern.operators.similarity import assign_bases
 from quern.operators.versions import window_similarity
 from quern.ship import ship
-from quern.tables import hot_join, numbered, settle, spread
+from quern.tables import hot_join, numbered, once, release, settle, settle_only, spread
 
 METHODS = ("plain", "mle", "elc", "similar", "similar_comp", "full")
 
@@ -49,8 +49,8 @@ def _sequenced(objects: DataFrame, cfg: ReductionConfig) -> DataFrame:
     order = numbered(objects.select(*name).distinct(), name, "_no").select(*[F.col(c).alias(f"_{c}") for c in name], "_no")
     same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in name])
     placed = spread(objects.select(*name, *parts, "content")).join(order, same).drop(*[f"_{c}" for c in name])
-    rows = chunk(placed, cfg).withColumn("fp", F.sha2("data", 256)).withColumn("seq", F.shiftleft("_no", 32) + F.col("chunk_no"))
-    return settle(rows.select("client", "version", "file_id", "chunk_no", "start", "size", "data", "fp", "seq"), "chunks")
+    rows = chunk(placed, cfg).withColumn("seq", F.shiftleft("_no", 32) + F.col("chunk_no"))
+    return rows.select("client", "version", "file_id", "chunk_no", "size", "data", "seq")
 
 
 def _most(cfg: ReductionConfig) -> int:
@@ -61,32 +61,43 @@ def _most(cfg: ReductionConfig) -> int:
 def _sealed(rows: DataFrame, cfg: ReductionConfig, salt: bytes | None = None) -> DataFrame:
     """Compressed and padded data: column sealed. With a salt the padding is random and goes up to the largest chunk."""
     packed = rows.withColumn("_p", codecs.compress(F.col("data"), cfg.zstd_level))
-    upto = F.col("size") if salt is None else F.lit(cfg.chunk.most)
-    return packed.withColumn("sealed", codecs.pad(F.col("_p.payload"), upto, byte_sum(F.col("fp")), cfg.most_padding, salt or b"")).withColumn("packed", F.col("_p.packed")).drop("_p")
+    upto = F.octet_length("data") if salt is None else F.lit(cfg.chunk.most)
+    return packed.withColumn("sealed", codecs.pad(F.col("_p.payload"), upto, F.unhex(F.sha2("data", 256)), cfg.most_padding, salt or b"")).withColumn("packed", F.col("_p.packed")).drop("_p")
 
 
-def _encrypted(rows: DataFrame, method: str, cfg: ReductionConfig) -> DataFrame:
-    """Each chunk's key and what the server receives of it: payload, and for `full` the compressed twin."""
+def _keyed(rows: DataFrame, method: str, cfg: ReductionConfig) -> DataFrame:
+    """Each chunk's key."""
+    if method == "plain":
+        return rows.withColumn("key", keys.plain_key())
+    if method == "mle":
+        return rows.withColumn("key", keys.message_locked(F.sha2("data", 256), cfg.secret))
+    if method == "elc":
+        return rows.withColumn("key", once(F.sha2("data", 256), lambda fp: keys.perturbed(keys.message_locked(fp, cfg.secret), byte_sum(fp))))
+    featured = settle(rows.withColumn("plain_features", super_features(F.col("data"), cfg.sketch)), "chunks")
+    firsts = featured.groupBy("plain_features").agg(F.min("seq").alias("seq"))
+    seeds = settle_only(lambda: keys.similarity_seeds(firsts, cfg, features="plain_features").join(firsts, "seq").select("plain_features", F.col("seed")), "seeds")
+    got = hot_join(featured, seeds, ["plain_features"], F.col("seq"))
+    return got.withColumn("key", keys.chunk_key(F.col("data"), F.col("seed"))).drop("plain_features", "seed")
+
+
+def _ciphered(rows: DataFrame, method: str, cfg: ReductionConfig, forms: tuple[str, ...] = ("payload",)) -> DataFrame:
+    """What the server receives of rows (data, key): payload, and for `full` the compressed twin, as far as asked for.
+
+    Both follow from data and key, so tables hold these, which are smaller, and ciphers are made where they are read."""
     most = _most(cfg)
     if method == "plain":
-        return rows.withColumn("key", keys.plain_key()).withColumn("payload", F.col("data")).withColumn("packed", F.lit(False))
+        return rows.withColumn("payload", F.col("data")).withColumn("packed", F.lit(False))
     if method == "mle":
-        got = rows.withColumn("key", keys.message_locked(F.col("fp"), cfg.secret))
-        return got.withColumn("payload", crypto.counter_mode(F.col("data"), F.col("key"), most)).withColumn("packed", F.lit(False))
+        return rows.withColumn("payload", crypto.counter_mode(F.col("data"), F.col("key"), most)).withColumn("packed", F.lit(False))
     if method == "elc":
-        got = _sealed(rows.withColumn("key", keys.perturbed(keys.message_locked(F.col("fp"), cfg.secret), byte_sum(F.col("fp")))), cfg, cfg.salt)
-        return got.withColumn("payload", crypto.counter_mode(F.col("sealed"), F.col("key"), most)).drop("sealed")
-    featured = settle(rows.withColumn("plain_features", super_features(F.col("data"), cfg.sketch)), "features")
-    once = featured.groupBy("plain_features").agg(F.min("seq").alias("seq"))
-    seeds = keys.similarity_seeds(once, cfg, features="plain_features").join(once, "seq").select("plain_features", F.col("seed"))
-    got = hot_join(featured, seeds, ["plain_features"], F.col("seq")).withColumn("key", keys.chunk_key(F.col("data"), F.col("seed"))).drop("plain_features", "seed")
+        return _sealed(rows, cfg, cfg.salt).withColumn("payload", crypto.counter_mode(F.col("sealed"), F.col("key"), most)).drop("sealed")
     if method == "similar":
-        return got.withColumn("payload", crypto.two_phase(F.col("data"), F.col("key"), most)).withColumn("packed", F.lit(False))
-    sealed = _sealed(got, cfg)
-    twin = crypto.two_phase(F.col("sealed"), F.col("key"), most)
+        return rows.withColumn("payload", crypto.two_phase(F.col("data"), F.col("key"), most)).withColumn("packed", F.lit(False))
     if method == "similar_comp":
-        return sealed.withColumn("payload", twin).drop("sealed")
-    return sealed.withColumn("twin", twin).withColumn("payload", crypto.two_phase(F.col("data"), F.col("key"), most)).drop("sealed")
+        return _sealed(rows, cfg).withColumn("payload", crypto.two_phase(F.col("sealed"), F.col("key"), most)).drop("sealed")
+    if "twin" in forms:
+        rows = _sealed(rows, cfg).withColumn("twin", crypto.two_phase(F.col("sealed"), F.col("key"), most)).drop("sealed")
+    return rows.withColumn("payload", crypto.two_phase(F.col("data"), F.col("key"), most)) if "payload" in forms else rows
 
 
 def _server_fingerprint(method: str) -> Column:
@@ -97,85 +108,151 @@ def _server_fingerprint(method: str) -> Column:
     return dual_fingerprint(F.col("payload"), F.col("key")) if method == "mle" else F.sha2("payload", 256)
 
 
+def _full_kinds(sent: DataFrame, found: DataFrame, firsts: DataFrame, cfg: ReductionConfig) -> DataFrame:
+    """(seq, kind, base_fp) of the first places, from what the clients' windows found."""
+    named = sent.select(F.col("seq").alias("base"), F.col("sfp").alias("base_fp"))
+    # a chunk's base may be a later copy of its own bytes' first place: the fingerprint names it
+    base_of = found.where("base is not null").join(named, "base").select("seq", "base_fp")
+    linked = settle(firsts.join(base_of, "seq", "left").withColumn("base_fp", F.when(F.col("base_fp") != F.col("sfp"), F.col("base_fp"))), "linked")
+    # a base is never itself a delta of the window's: it is stored as a pair
+    deep = linked.where("base_fp is not null").select(F.col("base_fp").alias("sfp")).distinct()
+    linked = settle(linked.join(deep.withColumn("_deep", F.lit(True)), "sfp", "left").select("seq", F.when(F.col("_deep").isNull(), F.col("base_fp")).alias("base_fp")), "linked")
+    # what the window leaves is searched among all clients and versions
+    rest = sent.select("seq", "features").join(linked.where("base_fp is null").select("seq"), "seq", "left_semi")
+    wide = assign_bases(settle(rest, "rest"), cfg.greedy_rounds, cfg.group_rows).where("base is not null").join(named, "base").select("seq", F.col("base_fp").alias("wide_fp"))
+    kind = F.when(F.col("base_fp").isNotNull(), "delta").when(F.col("wide_fp").isNotNull(), "twin_delta").otherwise("pair")
+    return linked.join(wide, "seq", "left").select("seq", kind.alias("kind"), F.coalesce("base_fp", "wide_fp").alias("base_fp"))
+
+
+def _stored(rows: DataFrame, method: str, cfg: ReductionConfig) -> DataFrame:
+    """rows (client, version, seq, sfp, kind, base_fp, data, key) as the server stores them: (.., stored, raw).
+
+    A chunk's own bytes, and its base's, are in the form that is coded: compressed but for the window's deltas. Only bases
+    that a delta refers to are made."""
+    forms = {"payload": "kind = 'delta'", "twin": "kind <> 'delta'"} if method == "full" else {"payload": "true"}
+    out = []
+    for form, which in forms.items():
+        some = rows.where(which)
+        columns = ["client", "version", "seq", F.col("sfp").alias("fp"), "kind", "base_fp"]
+        made = lambda r, form=form: _ciphered(r, method, cfg, (form,)).withColumn("own", F.col(form))
+        coded = some.where("base_fp is not null")
+        bases = rows.select(F.col("sfp").alias("base_fp"), "data", "key").join(coded.select("base_fp").distinct(), "base_fp", "left_semi")
+        deltas = made(hot_join(coded, made(bases).select("base_fp", F.col("own").alias("base")), ["base_fp"], F.col("seq")))
+        out.append(deltas.select(*columns, codecs.delta_encode(F.col("base"), F.col("own")).alias("stored"), F.octet_length("own").alias("raw")))
+        out.append(made(some.where("base_fp is null")).select(*columns, F.col("own").alias("stored"), F.octet_length("own").alias("raw")))
+    return reduce(DataFrame.unionByName, out)
+
+
 def upload(objects: DataFrame, method: str, cfg: ReductionConfig = ReductionConfig()) -> ReductionResult:
-    """objects (client, version, file_id, content) through one of METHODS."""
+    """objects (client, version, file_id, content) through one of METHODS.
+
+    Tables go as soon as what is read from them is written."""
     if method not in METHODS:
         raise ValueError(f"no method {method!r}")
     ship(objects.sparkSession)
-    sent = _encrypted(_sequenced(objects, cfg), method, cfg)
-    server = _server_fingerprint(method)
-    sent = settle(sent.withColumn("sfp", server).drop("data"), "sent")
-    key_rows = sent.select("client", "version", "file_id", "chunk_no", "key", "packed")
-    unique = settle(sent.join(sent.groupBy("sfp").agg(F.min("seq").alias("seq")).select("seq"), "seq"), "unique")
-    named = sent.select(F.col("seq").alias("base"), F.col("sfp").alias("base_fp"))
-    sizes = [F.octet_length(c).cast("long").alias(n) for c, n in (("payload", "whole"), ("twin", "squeezed")) if c in sent.columns]
-    seen = sent.select("client", "version", "file_id", "chunk_no", "size", F.col("sfp").alias("fp"), "seq", *sizes)
-    if method == "full":
+    full = method == "full"
+    forms = {"whole": "payload", "squeezed": "twin"} if full else {"whole": "payload"}
+    features = super_features(F.col("payload"), cfg.sketch).alias("features")
+
+    def received() -> DataFrame:
+        rows = _ciphered(_keyed(_sequenced(objects, cfg), method, cfg), method, cfg, tuple(forms.values()))
+        sizes = [F.octet_length(c).cast("long").alias(n) for n, c in forms.items()]
+        return rows.select("client", "version", "file_id", "chunk_no", "size", "seq", "data", "key", "packed", _server_fingerprint(method).alias("sfp"), *sizes, *([features] if full else []))
+
+    sent = settle_only(received, "sent")
+    firsts = settle(sent.groupBy("sfp").agg(F.min("seq").alias("seq")), "firsts")
+    seen = sent.select("client", "version", "file_id", "chunk_no", "size", F.col("sfp").alias("fp"), "seq", *forms)
+    bytes_of = ["client", "version", "seq", "sfp", "data", "key"]
+    if full:
         # the client's window decides before anything is known to be a duplicate: every chunk counts
-        featured = settle(sent.select("seq", "client", "version", super_features(F.col("payload"), cfg.sketch).alias("features")), "cipher")
-        found, _ = window_similarity(featured, cfg.keep_versions, cfg.greedy_rounds, cfg.group_rows)
+        found = settle_only(lambda: window_similarity(sent.select("seq", "client", "version", "features"), cfg.keep_versions, cfg.greedy_rounds, cfg.group_rows)[0], "window")
         lone = F.col("base").isNull()
         twice = {"received": F.when(lone, F.col("squeezed")).otherwise(F.col("whole")), "sent": F.when(lone, F.col("whole") + F.col("squeezed")).otherwise(F.col("whole"))}
         traffic = seen.join(found, "seq").withColumns(twice)
-        # a chunk's base may be a later copy of its own bytes' first place: the fingerprint names it
-        base_of = found.where("base is not null").join(named, "base").select("seq", "base_fp")
-        linked = settle(unique.select("seq", "sfp").join(base_of, "seq", "left").withColumn("base_fp", F.when(F.col("base_fp") != F.col("sfp"), F.col("base_fp"))), "linked")
-        # a base is never itself a delta of the window's: it is stored as a pair
-        deep = linked.where("base_fp is not null").select(F.col("base_fp").alias("sfp")).distinct()
-        linked = settle(linked.join(deep.withColumn("_deep", F.lit(True)), "sfp", "left").select("seq", F.when(F.col("_deep").isNull(), F.col("base_fp")).alias("base_fp")), "linked")
-        # what the window leaves is searched among all clients and versions
-        rest = featured.join(linked.where("base_fp is null").select("seq"), "seq", "left_semi").select("seq", "features")
-        wide = assign_bases(settle(rest, "rest"), cfg.greedy_rounds, cfg.group_rows).where("base is not null").join(named, "base").select("seq", F.col("base_fp").alias("wide_fp"))
-        kinds = linked.join(wide, "seq", "left").select("seq", F.when(F.col("base_fp").isNotNull(), "delta").when(F.col("wide_fp").isNotNull(), "twin_delta").otherwise("pair").alias("kind"), F.coalesce("base_fp", "wide_fp").alias("base_fp"))
+        kinds = settle_only(lambda: _full_kinds(sent, found, firsts, cfg), "kinds")
+        unique, spare = sent, [found]
     else:
         traffic = seen.withColumns({"received": F.col("whole"), "sent": F.col("whole")})
-        featured = unique.select("seq", super_features(F.col("payload"), cfg.sketch).alias("features"))
-        found = assign_bases(settle(featured, "cipher"), cfg.greedy_rounds, cfg.group_rows)
-        kinds = found.join(named, "base", "left").select("seq", F.when(F.col("base_fp").isNotNull(), "delta").otherwise("base").alias("kind"), "base_fp")
+        unique = settle(_ciphered(sent.select(*bytes_of).join(firsts.select("seq"), "seq"), method, cfg).select(*bytes_of, features), "unique")
+        named = firsts.select(F.col("seq").alias("base"), F.col("sfp").alias("base_fp"))
+
+        def searched() -> DataFrame:
+            based = assign_bases(unique.select("seq", "features"), cfg.greedy_rounds, cfg.group_rows).join(named, "base", "left")
+            return based.select("seq", F.when(F.col("base_fp").isNotNull(), "delta").otherwise("base").alias("kind"), "base_fp")
+
+        kinds, spare = settle_only(searched, "kinds"), [unique]
     recipe = settle(traffic.select("client", "version", "file_id", "chunk_no", "size", "fp", "seq", "received", "sent"), "recipe")
-    rows = unique.join(settle(kinds, "kinds"), "seq")
-    # a chunk's own bytes, and its base's, in the form that is coded: compressed but for the window's deltas
-    form = lambda kind: F.when(kind == "delta", F.col("payload")).otherwise(F.col("twin")) if method == "full" else F.col("payload")
-    rows = rows.withColumn("own", form(F.col("kind"))).select("client", "version", "seq", "sfp", "kind", "base_fp", "own")
-    coded_rows = rows.where("base_fp is not null")
-    bases = unique.select(F.col("sfp").alias("base_fp"), *(["payload", "twin"] if method == "full" else ["payload"]))
-    deltas = hot_join(settle(coded_rows, "similar"), bases, ["base_fp"], F.col("seq")).withColumn("stored", codecs.delta_encode(form(F.col("kind")), F.col("own")))
-    columns = ["client", "version", "seq", "sfp", "kind", "base_fp", "own", "stored"]
-    kept = deltas.select(*columns).unionByName(rows.where("base_fp is null").withColumn("stored", F.col("own")).select(*columns))
-    kept = settle(kept.select("client", "version", "seq", F.col("sfp").alias("fp"), "kind", "base_fp", "stored", F.octet_length("own").alias("raw")), "coded")
+    key_rows = settle(sent.select("client", "version", "file_id", "chunk_no", "key", "packed"), "keys")
+    rows = settle(unique.select(*bytes_of).join(kinds, "seq"), "rows")
+    release(sent, firsts, kinds, *spare)
+
+    coded = settle(_stored(rows, method, cfg).withColumn("squeezed", F.lit(False)), "coded")
+    release(rows)
     if method in ("plain", "mle", "elc"):  # the server compresses what it stores
-        kept = kept.withColumn("_s", codecs.compress(F.col("stored"), cfg.zstd_level)).withColumn("stored", F.col("_s.payload")).withColumn("squeezed", F.col("_s.packed")).drop("_s")
-    else:
-        kept = kept.withColumn("squeezed", F.lit(False))
-    kept = settle(kept.withColumn("size", F.octet_length("stored")), "kept")
+        packed = coded.withColumn("_s", codecs.compress(F.col("stored"), cfg.zstd_level))
+        was, coded = coded, settle(packed.withColumn("stored", F.col("_s.payload")).withColumn("squeezed", F.col("_s.packed")).drop("_s"), "coded")
+        release(was)
+    kept = coded.withColumn("size", F.octet_length("stored"))
     addr = settle(pack.addresses(kept.drop("stored"), cfg.container_bytes), "addr")
-    containers = pack.container_bodies(addr.select("seq", "container_id", "offset").join(kept.select("seq", "stored"), "seq"), "stored")
-    return ReductionResult(method, recipe, key_rows, addr, settle(containers, "containers"))
+    placed = settle(addr.select("seq", "container_id", "offset").join(kept.select("seq", "stored"), "seq").select("container_id", "offset", "stored"), "placed")
+    release(coded)
+    containers = settle(pack.container_bodies(placed, "stored"), "containers")
+    release(placed)
+    return ReductionResult(method, recipe, key_rows, addr, containers)
 
 
 def restore_chunks(result: ReductionResult, cfg: ReductionConfig = ReductionConfig()) -> DataFrame:
-    """(client, version, file_id, chunk_no, data) of every chunk of every object: what objects of any size are made of."""
+    """(client, version, file_id, chunk_no, data) of every chunk of every object: what objects of any size are made of.
+
+    A stored chunk is decrypted once, under the key of any chunk that has it. Of `result` only the recipe is read later than
+    this call: who needs no more of it may release() the rest."""
     ship(result.recipe.sparkSession)
-    method, most = result.method, _most(cfg)
-    held = settle(pack.fetch(result.addr, result.containers, "stored").select("fp", "kind", "base_fp", "squeezed", "stored"), "fetched")
-    if method in ("plain", "mle", "elc"):
-        held = settle(held.withColumn("stored", codecs.decompress(F.col("stored"), F.col("squeezed"))), "held")
-    keyed = result.recipe.join(result.keys, ["client", "version", "file_id", "chunk_no"])
+    method, most, name = result.method, _most(cfg), ["client", "version", "file_id", "chunk_no"]
+    by = result.recipe.join(result.keys, name).groupBy("fp").agg(F.any_value("key").alias("key"), F.any_value("packed").alias("packed"))
+    # a base may be of a version that the recipe doesn't hold: it has no key then
+    referred = result.addr.where("base_fp is not null").select(F.col("base_fp").alias("fp"), F.lit(True).alias("referred")).distinct()
+    keyed = settle(result.addr.join(by, "fp", "left").join(referred, "fp", "left"), "keyed")
+    fetch = lambda which: pack.fetch(keyed.where(which), result.containers, "stored")
+    # only what deltas and their bases need is kept as it is stored
+    lone = fetch("base_fp is null and referred is null and key is not null")
     if method == "full":
-        # a pair's uncompressed cipher is made again from its compressed one, under the key of any chunk that has it
-        by = keyed.groupBy("fp").agg(F.any_value("key").alias("key"), F.any_value("packed").alias("packed"))
-        pairs = held.where("kind = 'pair'").select("fp", "stored")
-        wide = hot_join(held.where("kind = 'twin_delta'").select("fp", "base_fp", "stored"), pairs.select(F.col("fp").alias("base_fp"), F.col("stored").alias("whole")), ["base_fp"], F.col("fp"))
-        twins = pairs.unionByName(wide.select("fp", codecs.delta_decode(F.col("whole"), F.col("stored")).alias("stored")))
-        pairs = settle(twins, "twins").join(by, "fp")
-        plain = codecs.decompress(codecs.unpad(crypto.two_phase_inverse(F.col("stored"), F.col("key"), most)), F.col("packed"))
-        bases = settle(pairs.select(F.col("fp"), crypto.two_phase(plain, F.col("key"), most).alias("whole")), "bases")
+        held = settle(lone.select("fp", _unpaired(most).alias("data")), "lone")
+        fetched = settle(fetch("(base_fp is not null or referred) and key is not null"), "fetched")
+        held = held.unionByName(_full_held(fetched, most))
     else:
-        bases = held.where("kind = 'base'").select("fp", F.col("stored").alias("whole"))
-    deltas = hot_join(held.where("kind = 'delta'").select("fp", "base_fp", "stored"), bases.select(F.col("fp").alias("base_fp"), "whole"), ["base_fp"], F.col("fp"))
-    whole = settle(bases.unionByName(deltas.select("fp", codecs.delta_decode(F.col("whole"), F.col("stored")).alias("whole"))), "whole")
-    rows = hot_join(keyed, whole, ["fp"], F.struct("client", "version", "file_id", "chunk_no"))
-    return rows.select("client", "version", "file_id", "chunk_no", _decrypted(method, most).alias("data"))
+        # the server compresses what it stores
+        whole = lambda rows: rows.withColumn("stored", codecs.decompress(F.col("stored"), F.col("squeezed"))) if method in ("plain", "mle", "elc") else rows
+        data = _decrypted(method, most).alias("data")
+        held = settle(whole(lone).select("fp", data), "lone")
+        fetched = settle(fetch("base_fp is not null or referred"), "fetched")
+        bases = whole(fetched.where("kind = 'base'"))
+        linked = bases.select("fp", "key", "packed", "stored").unionByName(_undelta(whole(fetched.where("kind = 'delta' and key is not null")), bases.select("fp", "stored")))
+        held = held.unionByName(settle(linked.where("key is not null").select("fp", data), "held"))
+    release(keyed, fetched)
+    fp = F.unhex("fp").alias("fp")  # half as long on its way
+    return hot_join(result.recipe.select(*name, fp), held.select(fp, "data"), ["fp"], F.struct(*name)).select(*name, "data")
+
+
+def _undelta(deltas: DataFrame, bases: DataFrame) -> DataFrame:
+    """deltas (fp, base_fp, stored, key, packed) against bases (fp, stored): (fp, key, packed, stored), stored whole again."""
+    some = bases.join(deltas.select(F.col("base_fp").alias("fp")).distinct(), "fp", "left_semi").select(F.col("fp").alias("base_fp"), F.col("stored").alias("base"))
+    return hot_join(deltas, some, ["base_fp"], F.col("fp")).select("fp", "key", "packed", codecs.delta_decode(F.col("base"), F.col("stored")).alias("stored"))
+
+
+def _unpaired(most: int) -> Column:
+    """A pair's bytes from its compressed cipher."""
+    return codecs.decompress(codecs.unpad(crypto.two_phase_inverse(F.col("stored"), F.col("key"), most)), F.col("packed"))
+
+
+def _full_held(fetched: DataFrame, most: int) -> DataFrame:
+    """(fp, data) of method `full`, over two levels."""
+    pairs, columns = fetched.where("kind = 'pair'"), ["fp", "key", "packed", "stored"]
+    twins = pairs.select(*columns).unionByName(_undelta(fetched.where("kind = 'twin_delta'"), pairs))
+    pairs = settle(twins.select("fp", "key", _unpaired(most).alias("data")), "pairs")
+    # a pair's uncompressed cipher, which the window's deltas refer to, is made again
+    bases = pairs.select("fp", crypto.two_phase(F.col("data"), F.col("key"), most).alias("stored"))
+    local = _undelta(fetched.where("kind = 'delta'"), bases).select("fp", crypto.two_phase_inverse(F.col("stored"), F.col("key"), most).alias("data"))
+    return pairs.select("fp", "data").unionByName(settle(local, "local"))
 
 
 def restore(result: ReductionResult, cfg: ReductionConfig = ReductionConfig()) -> DataFrame:
@@ -188,7 +265,7 @@ def restore(result: ReductionResult, cfg: ReductionConfig = ReductionConfig()) -
 
 
 def _decrypted(method: str, most: int) -> Column:
-    whole, key = F.col("whole"), F.col("key")
+    whole, key = F.col("stored"), F.col("key")
     if method == "plain":
         return whole
     if method == "mle":
@@ -196,7 +273,7 @@ def _decrypted(method: str, most: int) -> Column:
     if method == "elc":
         return codecs.decompress(codecs.unpad(crypto.counter_mode(whole, key, most)), F.col("packed"))
     if method == "similar_comp":
-        return codecs.decompress(codecs.unpad(crypto.two_phase_inverse(whole, key, most)), F.col("packed"))
+        return _unpaired(most)
     return crypto.two_phase_inverse(whole, key, most)
 
 

@@ -17,7 +17,7 @@ from quern.ship import ship
 from quern.sources import objects as sources
 from quern.sources import store
 from quern.streaming import versions as streams
-from quern.tables import new_path, settle
+from quern.tables import new_path, release, settle
 
 CFG = ReductionConfig()
 SIZE = 256
@@ -386,7 +386,9 @@ def _restored(method: str, chunker: str = "cdc") -> Query:
     def run(spark: SparkSession, sf: str) -> DataFrame:
         cfg = ReductionConfig(chunker=chunker)
         result = pipelines.upload(_objects(spark, sf), method, cfg)
-        return pipelines.restore(result, cfg).select("version", "file_id", F.octet_length("content").cast("long").alias("size"), F.sha2("content", 256).alias("sha256"))
+        restored = pipelines.restore(result, cfg)
+        release(result.keys, result.addr, result.containers)
+        return restored.select("version", "file_id", F.octet_length("content").cast("long").alias("size"), F.sha2("content", 256).alias("sha256"))
 
     return run
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterable
 
@@ -60,12 +61,47 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Spark then removes an execution's shuffle files as it ends, not when the driver happens to collect its garbage.
+_SWEEP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_MADE = threading.local()
+
+
 def settle(df: DataFrame, name: str = "table") -> DataFrame:
     """Write df once to the shared folder and read it back: lineage ends there and no executor's loss undoes it."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_SWEEP, None)
+    spark.conf.set(_SWEEP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(_SWEEP) if before is None else spark.conf.set(_SWEEP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._settled = path
+    getattr(_MADE, "paths", []).append(path)
+    return out
+
+
+def settle_only(make: Callable[[], DataFrame], name: str = "table") -> DataFrame:
+    """settle() of what make() gives; tables that were settled on the way are removed, as nothing else reads them."""
+    outer = getattr(_MADE, "paths", None)
+    _MADE.paths = made = []
+    try:
+        out = settle(make(), name)
+    finally:
+        _MADE.paths = [] if outer is None else outer
+    for path in made:
+        if path != out._settled:
+            _remove(out.sparkSession, path)
+    _MADE.paths.append(out._settled)
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove settled tables whose readers have all been settled; other tables are left alone."""
+    for t in tables:
+        if path := t.__dict__.get("_settled"):
+            _remove(t.sparkSession, path)
 
 
 def once(value: Column, f: Callable[[Column], Column]) -> Column:
@@ -111,6 +147,7 @@ def hot_join(big: DataFrame, small: DataFrame, on: list[str], by: Column, hot_ro
     hot = big.groupBy(*on).agg(F.count("*").alias("_n")).where(F.col("_n") > hot_rows)
     hot = settle(hot.select(*on, F.ceil(F.col("_n") / hot_rows).cast("int").alias("_salts")), "hot")
     if hot.isEmpty():
+        release(hot)
         return big.join(small, on)
     # at most (rows of big) / hot_rows keys
     left = big.join(hot, on, "left").withColumn("_salt", F.pmod(F.xxhash64(by), F.coalesce("_salts", F.lit(1))).cast("int")).drop("_salts")

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 from collections import Counter
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from quern.operators.chunk import chunk, content_defined, fixed
 from quern.plans import pipelines
 from quern.plans.queries import QUERIES
 from quern.sources import objects, store
-from quern.tables import components, hot_join, numbered, salted_join
+from quern.tables import components, hot_join, numbered, release, salted_join, scratch_dir, settle, settle_only
 
 
 def objects_of(spark, rows):
@@ -304,6 +305,35 @@ def test_a_later_session_goes_on_with_the_window(spark):
     assert sorted(first.unionByName(then).collect()) == sorted(whole.collect())
 
 
+@pytest.mark.parametrize("method", ["mle", "full"])
+def test_upload_and_restore_keep_only_what_is_read(spark, method):
+    """Tables on the way go as soon as what is read from them is written: a restore holds far less than all it has written."""
+    held = lambda: {p.name: sum(f.stat().st_size for f in p.rglob("*.parquet")) for p in Path(scratch_dir(spark).removeprefix("file:")).glob("*-*")}
+    before = set(held())
+    new = lambda: sorted({n.rpartition("-")[0] for n in held() if n not in before})
+    rows = versions_of(random.Random(7))
+    result = pipelines.upload(objects_of(spark, rows), method)
+    assert new() == ["addr", "containers", "keys", "recipe"]
+    got = pipelines.restore(result)
+    assert set(new()) <= {"addr", "containers", "keys", "recipe", "held", "lone", "pairs", "local"}
+    assert {(r["client"], r["version"], r["file_id"]): bytes(r["content"]) for r in got.collect()} == {(c, v, f): b for c, v, f, b in rows if b}
+
+
+def test_settle_only_keeps_what_was_there(spark):
+    outer = settle(spark.range(3), "outer")
+
+    def make():
+        inner = settle(outer.where("id > 0"), "inner")
+        made.append(inner)
+        return inner.unionByName(outer)
+
+    made = []
+    out = settle_only(make, "out")
+    assert out.count() == 5 and outer.count() == 3 and not Path(made[0]._settled.removeprefix("file:")).exists()
+    release(outer, spark.range(1))
+    assert out.count() == 5 and not Path(outer._settled.removeprefix("file:")).exists()
+
+
 def test_bases_of_other_clients_and_two_levels(spark):
     """full: client b's first chunks are deltas of client a's compressed ones, its next version's deltas of its own."""
     rng = random.Random(5)
